@@ -20,6 +20,8 @@ PII_ORDER = ("email", "phone", "ssn", "credit_card")
 PII_SPECIFIC_FIRST = ("email", "ssn", "credit_card", "phone")
 
 _SPACE = r"^\s+|\s+$"
+# digits, spaces and word edges of every script, not only of ASCII
+_UNICODE = "(?U)"
 
 
 def strip(text: Column) -> Column:
@@ -33,7 +35,7 @@ def change_case(text: Column, option: str) -> Column:
     if option == "uppercase":
         return strip(F.upper(text))
     if option == "titlecase":
-        return strip(F.initcap(text))
+        return F.initcap(strip(text))
     if option == "trim":
         return strip(text)
     return text
@@ -61,4 +63,4 @@ def mask_personal_data(
     text: Column, entities: Sequence[str] = ("email", "phone"), order: Sequence[str] = PII_ORDER
 ) -> Column:
     wanted = [e for e in order if e in entities]
-    return reduce(lambda c, e: F.regexp_replace(c, *PII_PATTERNS[e]), wanted, text)
+    return reduce(lambda c, e: F.regexp_replace(c, _UNICODE + PII_PATTERNS[e][0], PII_PATTERNS[e][1]), wanted, text)

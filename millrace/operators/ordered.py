@@ -55,7 +55,10 @@ class Ordered:
         return self.window(Window.unboundedPreceding, Window.currentRow)
 
     def after(self) -> WindowSpec:
-        return self.window(Window.currentRow, Window.unboundedFollowing)
+        """Rows from the end back to the current one: a growing frame, unlike one that shrinks."""
+        keys = cols(self._groups()) or [F.lit(0)]
+        back = Window.partitionBy(*keys).orderBy(*[c.desc() for c in cols(self.order)])
+        return back.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     def with_carry(
         self,
@@ -102,8 +105,7 @@ class Ordered:
     def nearest(self, source: Column, name: str, position: str, forward: bool = True) -> None:
         """Struct (pos, val) of the last known value at or before (forward) or after each row."""
         held = F.when(source.isNotNull(), F.struct(col(position).alias("pos"), source.alias("val")))
-        pick = F.last if forward else F.first
-        local = pick(held, ignorenulls=True).over(self.before() if forward else self.after())
+        local = F.last(held, ignorenulls=True).over(self.before() if forward else self.after())
         if not self.blocked:
             self.df = self.df.withColumn(name, local)
             return
