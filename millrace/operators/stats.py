@@ -116,3 +116,17 @@ def distinct_counts(df: DataFrame, names: Sequence[str]) -> dict[str, int]:
     long = df.select(F.inline(pairs)).where("s IS NOT NULL").distinct()
     found = {r["name"]: r["count"] for r in long.groupBy("name").count().collect()}
     return {n: found.get(n, 0) for n in names}
+
+
+def distinct_near(df: DataFrame, names: Sequence[str], rows: int, limits: Sequence[float]) -> dict[str, int]:
+    """Distinct counts good enough to compare with limits.
+
+    A sketch counts every column in one pass without a shuffle; only columns whose estimate lies
+    close to a limit, or is small, are counted exactly.
+    """
+    if not names:
+        return {}
+    row = df.agg(*[F.approx_count_distinct(col(n), 0.02).alias(f"d{i}") for i, n in enumerate(names)]).first()
+    rough = {n: min(row[i], rows) for i, n in enumerate(names)}
+    unsure = [n for n, d in rough.items() if d <= 1000 or any(abs(d - x) <= 0.12 * max(d, x) for x in limits)]
+    return rough | distinct_counts(df, unsure)
