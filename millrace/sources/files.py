@@ -14,13 +14,12 @@ from millrace.sources.nested import flatten
 ENCODINGS = ("UTF-8", "ISO-8859-1", "windows-1252")
 # fixed values: keys that wrap a list of records, in this order
 WRAPPER_KEYS = ("data", "items", "records", "rows", "results")
-REPLACEMENT = "�"
 
 
 def sniff_encoding(spark: SparkSession, path: str) -> str:
     """UTF-8 unless some line does not decode; the scan stops at the first such line."""
     lines = spark.read.text(path)
-    broken = lines.where(F.col("value").contains(REPLACEMENT)).limit(1).count()
+    broken = lines.where(~F.is_valid_utf8("value")).limit(1).count()
     return ENCODINGS[1] if broken else ENCODINGS[0]
 
 
