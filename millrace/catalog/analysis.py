@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from millrace.catalog.cleaning import _GAPPY, gappy
 from millrace.catalog.registry import query
-from millrace.functions.formula import apply_metrics
+from millrace.columns import resolve_column
+from millrace.functions.formula import apply_metrics, formula_column
 from millrace.operators import alerts, charts, profile, questions, relations, root_cause
 from millrace.session import scratch_path
 
@@ -428,3 +429,38 @@ def alert_check(t):
         "l_quantity": F.expr("CASE WHEN l_orderkey % 10 = 0 THEN NULL ELSE l_quantity END"),
         "l_extendedprice": F.col("l_extendedprice") * 0.5})
     return alerts.check(later, metrics, path).select("rule", "severity", "metric", F.round("pct_change", 1).alias("pct_change"))
+
+
+@query("resolve_column", "SELECT c_mktsegment, ROUND(AVG(c_acctbal), 4) AS c_acctbal FROM customer GROUP BY 1")
+def resolve_column_query(t):
+    group = resolve_column("  C_MktSegment ", t.customer.columns)
+    measure = resolve_column("c_acctbal", t.customer.columns)
+    assert resolve_column("segment", t.customer.columns) is None
+    return _kinds(t.customer.groupBy(group).agg(F.avg(measure).alias(measure)), c_acctbal=4)
+
+
+@query("dataset_type", "SELECT 'customer' AS table_name, COUNT(*) AS n_rows FROM customer UNION ALL SELECT 'product', COUNT(*) FROM events")
+def dataset_type(t):
+    parts = [(t.customer, ["customer_id", "account_balance", "signup_day"]), (t.events, ["event_id", "session", "page_view"])]
+    out = None
+    for df, names in parts:
+        part = df.agg(F.lit(profile.dataset_type(names)).alias("table_name"), F.count(F.lit(1)).alias("n_rows"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("nl_insight", """
+    WITH g AS (SELECT c_mktsegment s, AVG(c_acctbal) m FROM customer GROUP BY 1)
+    SELECT 'Across ' || (SELECT COUNT(*) FROM g) || ' c_mktsegment groups, ''' || s || ''' leads with a mean of ' || format('{:,.2f}', m) || '.' AS text
+    FROM g ORDER BY m DESC LIMIT 1""")
+def nl_insight(t):
+    plan = {"intent": "mean", "numeric_col": "c_acctbal", "category_col": "c_mktsegment"}
+    text = questions.answer_text(questions.answer(t.customer, plan), plan)
+    return t.spark.createDataFrame([(text,)], "text string")
+
+
+@query("fx_minmax", "SELECT o_orderstatus, MIN(o_totalprice) AS low, MAX(o_totalprice * 2) AS high FROM orders GROUP BY 1")
+def fx_minmax(t):
+    low = formula_column(t.spark, "min(o_totalprice)", t.orders.columns, aggregates=True)
+    high = formula_column(t.spark, "max(o_totalprice * 2)", t.orders.columns, aggregates=True)
+    return t.orders.groupBy("o_orderstatus").agg(low.alias("low"), high.alias("high"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millrace.catalog.registry import query
 from millrace.operators import hypothesis, series
 from millrace.operators.forecast import forecast_table, run_forecast
-from millrace.operators.insights import findings, insight_table, run_insights
+from millrace.operators.insights import findings, insight_report, insight_table, run_insights
 from millrace.operators.insights.facts import Facts
 
 _NUM = ["l_quantity", "l_extendedprice", "l_discount", "gross"]
@@ -285,6 +285,12 @@ def insights_run(t):
     return insight_table(t.orders, run_insights(t.orders, _ROLES))
 
 
+@query("insight_report")
+def insight_report_query(t):
+    report = insight_report(run_insights(t.events, _EVENT_ROLES))
+    return t.spark.createDataFrame([(i, line) for i, line in enumerate(report.split("\n"))], "line_no int, line string")
+
+
 # ---- time series
 
 @query("ts_resample", """

@@ -115,8 +115,13 @@ def as_double(df: DataFrame, name: str) -> Column:
 
 
 def micros(df: DataFrame, name: str) -> Column:
-    """Microseconds since the epoch for any date or timestamp column."""
-    return F.unix_micros(col(name).cast("timestamp"))
+    """Microseconds since 1970 of the wall-clock time of a date or timestamp, in any session zone."""
+    c = col(name)
+    day = F.unix_date(c.cast("date")).cast("long") * 86_400_000_000
+    if isinstance(type_of(df, name), T.DateType):
+        return day
+    seconds = F.extract(F.lit("SECOND"), c) * 1_000_000
+    return day + F.hour(c).cast("long") * 3_600_000_000 + F.minute(c).cast("long") * 60_000_000 + seconds.cast("long")
 
 
 def missing(df: DataFrame, name: str) -> Column:

@@ -18,6 +18,7 @@ from millrace.functions.distributions import (
     chi_square_upper, f_upper, normal_two_sided, pearson_p, t_two_sided,
 )
 from millrace.operators.ordered import Ordered
+from millrace.operators.stats import pearson
 from millrace.session import driver_rows, session_of
 
 METHODS = ("fdr_bh", "fdr_by", "bonferroni")
@@ -108,7 +109,7 @@ def numeric_correlations(
     picks = []
     for i, (a, b) in enumerate(pairs):
         both = at[a].isNotNull() & at[b].isNotNull()
-        picks += [F.count_if(both).alias(f"n{i}"), F.corr(at[a], at[b]).alias(f"r{i}"),
+        picks += [F.count_if(both).alias(f"n{i}"), pearson(at[a], at[b]).alias(f"r{i}"),
                   F.stddev_pop(F.when(both, at[a])).alias(f"a{i}"), F.stddev_pop(F.when(both, at[b])).alias(f"b{i}")]
     row = view.agg(*picks).first()
     spark, tests = session_of(df), []

@@ -13,7 +13,7 @@ from millrace.operators.forecast import forecast_table
 from millrace.operators.hypothesis import numeric_correlations
 from millrace.operators.insights.facts import Facts, Insight, clamp
 from millrace.operators.quantiles import exact_quantiles
-from millrace.operators.stats import distinct_near
+from millrace.operators.stats import distinct_near, pearson
 
 # fixed values: limits below which a finding is not shown
 TREND_MIN, CHANGE_MIN, CORRELATION_MIN, Z_LIMIT = 0.005, 5.0, 0.55, 2.8
@@ -336,7 +336,7 @@ def drivers(f: Facts) -> Insight | None:
     if len(f.metrics) < 2:
         return None
     complete = f.df.dropna(subset=f.metrics)
-    row = complete.agg(*[F.abs(F.corr(as_double(f.df, first), as_double(f.df, m))) for m in f.metrics[1:]]).first()
+    row = complete.agg(*[F.abs(pearson(as_double(f.df, first), as_double(f.df, m))) for m in f.metrics[1:]]).first()
     ranked = sorted(((m, v) for m, v in zip(f.metrics[1:], row) if v is not None and not math.isnan(v)),
                     key=lambda p: -p[1])[:8]
     if not ranked:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from millrace.columns import as_double, col, is_numeric, is_time, missing, numeric_names, text_names, type_of
 from millrace.operators.aggregates import value_counts
 from millrace.operators.quantiles import exact_quantiles
-from millrace.operators.stats import column_stats, distinct_counts, distinct_near, modes, null_counts
+from millrace.operators.stats import column_stats, distinct_counts, distinct_near, modes, null_counts, pearson
 
 
 def table_profile(df: DataFrame, filename: str = "") -> dict[str, Any]:
@@ -261,7 +261,7 @@ def inspect_column(df: DataFrame, name: str, top: int = 5) -> DataFrame:
 def correlation_long(df: DataFrame, names: Sequence[str], digits: int = 3) -> DataFrame:
     """(row, column, r) of the full Pearson matrix over pairwise complete rows; undefined is 0."""
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    row = df.agg(*[F.corr(as_double(df, a), as_double(df, b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]).first()
+    row = df.agg(*[pearson(as_double(df, a), as_double(df, b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]).first()
     found = {}
     for i, (a, b) in enumerate(pairs):
         r = row[f"r{i}"]

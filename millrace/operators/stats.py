@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,6 +49,13 @@ def sample_kurtosis(g2: float | None, n: int) -> float | None:
     return (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Correlation over the rows where both are known; NULL (not an error) when one is constant."""
+    both = a.isNotNull() & b.isNotNull()
+    spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
+    return F.try_divide(F.covar_pop(a, b), spread)
+
+
 def null_counts(df: DataFrame, names: Sequence[str]) -> tuple[int, dict[str, int]]:
     row = df.agg(
         F.count(F.lit(1)).alias("n"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from typing import Any
 
 from pyspark.sql import SparkSession
@@ -43,6 +44,8 @@ class SharedFolder:
     def write(self, name: str, value: Any, overwrite: bool = True) -> bool:
         """Write JSON. With ``overwrite=False`` exactly one of several writers succeeds."""
         payload = json.dumps(value, indent=2, sort_keys=True, default=str).encode("utf-8")
+        if not overwrite and self._fs.getScheme() == "file":
+            return self._write_local(name, payload)
         try:
             stream = self._fs.create(self._at(name), overwrite)
         except Exception:
@@ -55,5 +58,16 @@ class SharedFolder:
             stream.close()
         return True
 
+    def _write_local(self, name: str, payload: bytes) -> bool:
+        """A local disk (tests) needs the operating system's exclusive create."""
+        path = self._at(name).toUri().getPath()
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        try:
+            with open(path, "xb") as out:
+                out.write(payload)
+        except FileExistsError:
+            return False
+        return True
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._at(name), True)

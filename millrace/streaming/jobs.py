@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from millrace.columns import col
+from millrace.columns import col, micros
 from millrace.operators.alerts import ALERT_SCHEMA, DEFAULT_RULES, baseline, evaluate
 from millrace.plans.cleaning import Rule, clean_rules
 from millrace.plans.quality import Check, gate_fails, run_checks, verdict_table
@@ -51,8 +51,12 @@ def webhook_events(spark: SparkSession, folder: str, schema: T.StructType | str,
 
 
 def event_time(stream: DataFrame, name: str) -> DataFrame:
-    """Watermarks need an instant; a timestamp without zone is read in the session zone."""
-    return stream.withColumn(name, col(name).cast("timestamp"))
+    """Watermarks need an instant: the wall-clock time is taken as UTC whatever the session zone."""
+    return stream.withColumn(name, F.timestamp_micros(micros(stream, name)))
+
+
+def utc_day(instant: Column) -> Column:
+    return F.date_from_unix_date(F.floor(F.unix_micros(instant) / 86_400_000_000).cast("int"))
 
 
 def _start(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, once: bool,
@@ -127,7 +131,7 @@ def daily_trend(
     """Daily sums of a metric; with ``append`` a day is final once the watermark has passed it."""
     timed = event_time(stream, time).withWatermark(time, lateness)
     daily = timed.groupBy(F.window(col(time), "1 day")).agg(F.sum(col(metric)).alias("value"), F.count(F.lit(1)).alias("n"))
-    shown = daily.select(F.col("window.start").cast("date").alias("day"), "value", "n")
+    shown = daily.select(utc_day(F.col("window.start")).alias("day"), "value", "n")
 
     def handle(batch: DataFrame, number: int) -> None:
         target = sink if mode == "complete" else f"{sink}/batch={number}"
