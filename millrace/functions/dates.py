@@ -27,7 +27,9 @@ PERIODS = {"T": "MINUTE", "H": "HOUR", "D": "DAY", "W": "WEEK", "M": "MONTH", "Q
 def parse_mixed(text: Column, layouts: Sequence[str] = DATE_LAYOUTS) -> Column:
     """First layout that parses wins; unparsable text is NULL."""
     trimmed = F.trim(text)
-    return F.coalesce(*[F.try_to_timestamp(trimmed, F.lit(f)) for f in layouts])
+    parsed = F.coalesce(*[F.try_to_timestamp(trimmed, F.lit(f)) for f in layouts])
+    # text without a digit, or far too long, is no date; the layouts are tried on the rest only
+    return F.when((F.length(trimmed) <= 40) & trimmed.rlike("[0-9]"), parsed)
 
 
 def period_start(value: Column, period: str) -> Column:

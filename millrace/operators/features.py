@@ -127,47 +127,42 @@ def cast_strict(df: DataFrame, casts: dict[str, str]) -> DataFrame:
     return df.withColumns({n: col(n).cast(words.get(k.lower(), k)) for n, k in casts.items() if n in df.columns})
 
 
-def duplicate_rows(df: DataFrame) -> int:
-    return df.count() - df.distinct().count()
-
-
-def coercible(df: DataFrame, names: Sequence[str], share: float = 0.85) -> tuple[list[str], list[str]]:
-    """Text columns where more than ``share`` of the rows parse as a number, else as a date."""
-    if not names:
-        return [], []
-    picks = []
-    for i, name in enumerate(names):
-        picks += [F.avg(col(name).try_cast("double").isNotNull().cast("int")).alias(f"n{i}"),
-                  F.avg(parse_mixed(col(name)).isNotNull().cast("int")).alias(f"d{i}")]
-    row = df.agg(*picks).first()
-    numbers = [n for i, n in enumerate(names) if (row[f"n{i}"] or 0) > share]
-    dates = [n for i, n in enumerate(names) if n not in numbers and (row[f"d{i}"] or 0) > share]
-    return numbers, dates
-
-
-def structural_clean(df: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Snake names, distinct rows, trimmed text, no empty rows, typed text columns."""
+def structural_clean(df: DataFrame, rows: int | None = None) -> tuple[DataFrame, list[str], int]:
+    """Snake names, distinct rows, trimmed text, no empty rows, typed text columns.
+
+    One job over the distinct rows decides everything; the result is returned with its row count.
+    """
     actions = []
     named = clean_names(df)
     renamed = sum(a != b for a, b in zip(df.columns, named.columns))
     if renamed:
         actions.append(f"Renamed {renamed} column(s) to snake_case")
-    repeats = duplicate_rows(named)
+    texts = text_names(named)
+    trimmed = {n: strip(col(n)) for n in texts}
+    seen = named.distinct().withColumns(trimmed) if texts else named.distinct()
+    empty = F.lit(True)
+    for name in named.columns:
+        empty = empty & missing(named, name)
+    full = ~empty
+    picks = [F.count(F.lit(1)).alias("kept"), F.count_if(empty).alias("hollow")]
+    for i, name in enumerate(texts):
+        picks += [F.count_if(full & col(name).try_cast("double").isNotNull()).alias(f"n{i}"),
+                  F.count_if(full & parse_mixed(col(name)).isNotNull()).alias(f"d{i}")]
+    row = seen.agg(*picks).first()
+    rows = named.count() if rows is None else rows
+    repeats, left = rows - row["kept"], row["kept"] - row["hollow"]
     out = named.distinct() if repeats else named
     if repeats:
         actions.append(f"Removed {repeats:,} duplicate row(s)")
-    texts = text_names(out)
     if texts:
-        out = out.withColumns({n: strip(col(n)) for n in texts})
+        out = out.withColumns(trimmed)
         actions.append(f"Stripped whitespace from {len(texts)} string column(s)")
-    empty = F.lit(True)
-    for name in out.columns:
-        empty = empty & missing(out, name)
-    hollow = out.agg(F.count_if(empty)).first()[0]
-    if hollow:
-        out = out.where(~empty)
-        actions.append(f"Removed {hollow} fully-empty row(s)")
-    numbers, dates = coercible(out, texts)
+    if row["hollow"]:
+        out = out.where(full)
+        actions.append(f"Removed {row['hollow']} fully-empty row(s)")
+    share = 0.85 * left
+    numbers = [n for i, n in enumerate(texts) if left and row[f"n{i}"] > share]
+    dates = [n for i, n in enumerate(texts) if n not in numbers and left and row[f"d{i}"] > share]
     out = out.withColumns({n: col(n).try_cast("double") for n in numbers} | {n: parse_mixed(col(n)) for n in dates})
     actions += [f"Coerced '{n}' to numeric" for n in numbers] + [f"Parsed '{n}' as datetime" for n in dates]
-    return out, actions or ["Nothing to change in the structure"]
+    return out, actions or ["Nothing to change in the structure"], left

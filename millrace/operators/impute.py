@@ -22,6 +22,7 @@ class Cleaned:
 
     df: DataFrame
     log: list[dict[str, Any]] = field(default_factory=list)
+    rows: int | None = None
 
 
 def known(df: DataFrame, name: str) -> Column:
@@ -156,4 +157,4 @@ def impute_auto(df: DataFrame, flag: bool = False) -> Cleaned:
         values[name] = value
         entry(name, f"Filled with {label}", "fill")
     flagged = flag_gaps(df, list(values)) if flag else df
-    return Cleaned(fill_constants(flagged, values), log)
+    return Cleaned(fill_constants(flagged, values), log, rows)

@@ -1,10 +1,11 @@
 """Exact quantiles that never hold an unbounded group in one task.
 
-``percentile`` keeps one hash map per group, so it is used only where a count shows that the
-largest group fits in a task. Larger groups are narrowed by counting: each pass counts rows in
-equal-width slices of the interval that holds the wanted rank and keeps the slice with that rank.
-Every pass is an aggregate with map-side combine, so a group with a third of all rows is no
-slower than an even spread.
+``percentile`` keeps one hash map per group, so it serves only small groups. Otherwise a sketch
+(``percentile_approx``, bounded size, map-side combine) brackets the wanted rank, and one more pass
+counts the rows below the bracket and gathers the few values strictly inside it. Where even the
+bracket would hold too many rows it is narrowed by counting: each pass counts rows in equal-width
+slices and keeps the slice with the wanted rank. A group with a third of all rows is no slower than
+an even spread on any of these paths.
 """
 
 from __future__ import annotations
@@ -20,6 +21,12 @@ from millrace.columns import as_double, cols, quoted
 from millrace.session import driver_rows, session_of, task_rows
 
 SLICES = 2048
+# accuracy of the sketch, and how many times its rank error a bracket may span
+SKETCH = 10_000
+BRACKET_SHARE = 8
+# groups up to this size are sorted out by the built-in exact percentile; well above the sketch
+# accuracy, so that in larger groups the ranks a bracket asks for lie apart
+PLAIN_ROWS = 100_000
 
 
 def quantile_table(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -28,29 +35,96 @@ def quantile_table(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(F.inline(pairs)).where("v IS NOT NULL")
 
 
+def _bracket_probs(probs: Sequence[float]) -> list[float]:
+    """Sketch ranks that surely enclose each wanted rank."""
+    margin = 2.0 / SKETCH
+    return [min(1.0, max(0.0, p + side * margin)) for p in probs for side in (-1, 1)]
+
+
+def _positions(p: float, n: int) -> tuple[int, int, float]:
+    at = p * (n - 1)
+    return math.floor(at), math.ceil(at), at - math.floor(at)
+
+
+def _pick(rank: int, low: float, high: float, below: int, at_low: int, at_high: int, inside: Sequence[float]):
+    """Value of a rank from the counts around a bracket; None when the rank lies outside it."""
+    place = rank - below
+    if place < 0:
+        return None
+    if place < at_low:
+        return low
+    place -= at_low
+    if place < len(inside):
+        return inside[place]
+    return high if place - len(inside) < at_high else None
+
+
 def exact_quantiles(
     df: DataFrame,
     wanted: dict[str, Sequence[float]],
     rows: int | None = None,
 ) -> dict[str, list[float | None]]:
-    """Linear-interpolation quantiles of several numeric columns, in one job when they fit."""
-    wanted = {n: list(p) for n, p in wanted.items() if p}
+    """Linear-interpolation quantiles of several numeric columns; two jobs, one for a small table."""
+    wanted = {n: [float(p) for p in ps] for n, ps in wanted.items() if ps}
     if not wanted:
         return {}
     spark = session_of(df)
-    if rows is None:
-        rows = df.count()
-    if rows <= task_rows(spark):
-        picks = [
-            F.percentile(as_double(df, n), F.array(*[F.lit(float(p)) for p in ps])).alias(f"q{i}")
-            for i, (n, ps) in enumerate(wanted.items())
-        ]
+    limit = task_rows(spark)
+    if rows is not None and rows <= min(PLAIN_ROWS, limit):
+        picks = [F.percentile(as_double(df, n), F.array(*[F.lit(p) for p in ps])) for n, ps in wanted.items()]
         row = df.agg(*picks).first()
         return {n: list(row[i]) if row[i] is not None else [None] * len(ps)
                 for i, (n, ps) in enumerate(wanted.items())}
-    long = quantile_table(df, list(wanted))
-    found = _ranked(long, ["name"], {(n,): ps for n, ps in wanted.items()})
-    return {n: found.get((n,), [None] * len(ps)) for n, ps in wanted.items()}
+    plain = min(PLAIN_ROWS, limit)
+    view = df.select(*[as_double(df, n).alias(f"v{i}") for i, n in enumerate(wanted)])
+    picks = []
+    for i, ps in enumerate(wanted.values()):
+        probs = F.array(*[F.lit(p) for p in _bracket_probs(ps)])
+        picks += [F.count(f"v{i}").alias(f"n{i}"), F.percentile_approx(f"v{i}", probs, SKETCH).alias(f"s{i}"),
+                  F.min(f"v{i}").alias(f"lo{i}"), F.max(f"v{i}").alias(f"hi{i}")]
+    sketch = view.agg(*picks).first()
+    out: dict[str, list[float | None]] = {n: [None] * len(ps) for n, ps in wanted.items()}
+    brackets, large, small = {}, {}, {}
+    for i, (name, ps) in enumerate(wanted.items()):
+        n = sketch[f"n{i}"]
+        if 0 < n <= plain:
+            # too few rows for the sketch ranks to lie apart
+            small[name] = F.percentile(f"v{i}", F.array(*[F.lit(p) for p in ps])).alias(f"q{i}")
+        elif n and BRACKET_SHARE * n / SKETCH > limit:
+            large[name] = ps
+        elif n:
+            for k, p in enumerate(ps):
+                low = sketch[f"lo{i}"] if p <= 2.0 / SKETCH else sketch[f"s{i}"][2 * k]
+                high = sketch[f"hi{i}"] if p >= 1 - 2.0 / SKETCH else sketch[f"s{i}"][2 * k + 1]
+                brackets[(i, name, k, p, n)] = (low, high)
+    if brackets or small:
+        counts = list(small.values())
+        for b, ((i, *_), (low, high)) in enumerate(brackets.items()):
+            counts += [c.alias(f"{k}{b}") for k, c in _around(F.col(f"v{i}"), F.lit(low), F.lit(high)).items()]
+        row = view.agg(*counts).first()
+        out |= {name: list(row[b]) for b, name in enumerate(small)}
+        for b, ((i, name, k, p, n), (low, high)) in enumerate(brackets.items()):
+            first, second, share = _positions(p, n)
+            spot = (low, high, row[f"below{b}"], row[f"low{b}"], row[f"high{b}"], row[f"inside{b}"])
+            x, y = _pick(first, *spot), _pick(second, *spot)
+            if x is None or y is None:
+                large[name] = wanted[name]
+            else:
+                out[name][k] = x + (y - x) * share
+    if large:
+        long = quantile_table(df, list(large))
+        found = _ranked(long, ["name"], {(n,): ps for n, ps in large.items()})
+        out |= {n: found.get((n,), [None] * len(ps)) for n, ps in large.items()}
+    return out
+
+
+def _around(v: Column, low: Column, high: Column) -> dict[str, Column]:
+    """Aggregates that locate a rank in [low, high]; equal values at the ends are only counted."""
+    return {
+        "below": F.count_if(v < low), "low": F.count_if(v == low),
+        "high": F.count_if((v == high) & (high > low)),
+        "inside": F.sort_array(F.collect_list(F.when((v > low) & (v < high), v))),
+    }
 
 
 def grouped_quantiles(
@@ -60,33 +134,71 @@ def grouped_quantiles(
     probs: Sequence[float],
     names: Sequence[str],
 ) -> DataFrame:
-    """Quantiles per group. Groups larger than a task go through the counting passes."""
+    """Quantiles per group by the same three ways, chosen by the size of the groups."""
     spark = session_of(df)
+    probs = [float(p) for p in probs]
     data = df.select(*cols(keys), value.cast("double").alias("v"))
     limit = task_rows(spark)
-    sizes = data.groupBy(*cols(keys)).agg(F.count("v").alias("n"))
-    hot = sizes.where(F.col("n") > limit)
-    array = F.percentile("v", F.array(*[F.lit(float(p)) for p in probs]))
-
-    def plain(part: DataFrame) -> DataFrame:
-        packed = part.groupBy(*cols(keys)).agg(array.alias("q"))
+    sizes = data.groupBy(*cols(keys)).agg(F.count("v").alias("n"), F.approx_count_distinct("v").alias("d"))
+    huge = limit * SKETCH // BRACKET_SHARE
+    distinct, oversized = sizes.agg(F.max(F.least("n", "d")), F.count_if(F.col("n") > huge)).first()
+    # the built-in map holds one entry per distinct value
+    if (distinct or 0) <= min(PLAIN_ROWS, limit):
+        array = F.percentile("v", F.array(*[F.lit(p) for p in probs]))
+        packed = data.groupBy(*cols(keys)).agg(array.alias("q"))
         return packed.select(*cols(keys), *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
-
-    hot_rows = hot.limit(driver_rows(spark) + 1).collect()
-    if not hot_rows:
-        return plain(data)
-    if len(hot_rows) > driver_rows(spark):
+    if not oversized:
+        return _bracketed_groups(data, keys, probs, names)
+    if oversized > driver_rows(spark):
         raise ValueError("too many oversized groups; raise the task row limit")
-    hot_keys = spark.createDataFrame([tuple(r)[:-1] for r in hot_rows], hot.select(*cols(keys)).schema)
+    hot_rows = sizes.where(F.col("n") > huge).select(*cols(keys)).collect()
+    hot_keys = spark.createDataFrame(hot_rows, sizes.select(*cols(keys)).schema)
     same = [data[quoted(k)].eqNullSafe(hot_keys[quoted(k)]) for k in keys]
     cold = data.join(F.broadcast(hot_keys), same, "left_anti")
     warm = data.join(F.broadcast(hot_keys), same, "left_semi").where("v IS NOT NULL")
-    found = _ranked(warm, list(keys), {tuple(r)[:-1]: list(probs) for r in hot_rows})
+    found = _ranked(warm, list(keys), {tuple(r): list(probs) for r in hot_rows})
     schema = T.StructType(
         [data.schema[k] for k in keys] + [T.StructField(n, T.DoubleType()) for n in names]
     )
     rows = [key + tuple(values) for key, values in found.items()]
-    return plain(cold).unionByName(spark.createDataFrame(rows, schema))
+    return _bracketed_groups(cold, keys, probs, names).unionByName(spark.createDataFrame(rows, schema))
+
+
+def _bracketed_groups(data: DataFrame, keys: Sequence[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """Sketch per group, joined back to gather the values inside each bracket (a bounded number)."""
+    wide = F.array(*[F.lit(p) for p in _bracket_probs(probs)])
+    sketch = data.groupBy(*cols(keys)).agg(
+        F.count("v").alias("n"), F.percentile_approx("v", wide, SKETCH).alias("s"), F.min("v").alias("lo"),
+        F.max("v").alias("hi"))
+    ends = []
+    for k, p in enumerate(probs):
+        # a small group is gathered whole: its sketch ranks would not lie apart
+        low = F.when((F.col("n") <= PLAIN_ROWS) | F.lit(p <= 2.0 / SKETCH), F.col("lo")).otherwise(F.col("s")[2 * k])
+        high = F.when((F.col("n") <= PLAIN_ROWS) | F.lit(p >= 1 - 2.0 / SKETCH), F.col("hi")).otherwise(F.col("s")[2 * k + 1])
+        ends += [low.alias(f"lo{k}"), high.alias(f"hi{k}")]
+    table = sketch.select(*[F.col(quoted(c)).alias(f"_k{i}") for i, c in enumerate(keys)], "n", *ends)
+    on = [data[quoted(c)].eqNullSafe(table[f"_k{i}"]) for i, c in enumerate(keys)]
+    joined = data.join(table, on)
+    counts = [F.first("n").alias("n")]
+    for k in range(len(probs)):
+        low, high = F.col(f"lo{k}"), F.col(f"hi{k}")
+        counts += [c.alias(f"{w}{k}") for w, c in _around(F.col("v"), low, high).items()]
+        counts += [F.first(low).alias(f"a{k}"), F.first(high).alias(f"b{k}")]
+    packed = joined.groupBy(*cols(keys)).agg(*counts)
+
+    def value(k: int, rank: Column) -> Column:
+        place = rank - F.col(f"below{k}")
+        after = place - F.col(f"low{k}")
+        inner = F.get(F.col(f"inside{k}"), after.cast("int"))
+        return F.when(after < 0, F.col(f"a{k}")).when(
+            after < F.size(F.col(f"inside{k}")), inner).otherwise(F.col(f"b{k}"))
+
+    out = []
+    for k, (p, name) in enumerate(zip(probs, names)):
+        at = F.lit(p) * (F.col("n") - 1)
+        low, high = F.floor(at), F.ceil(at)
+        out.append((value(k, low) + (value(k, high) - value(k, low)) * (at - low)).alias(name))
+    return packed.select(*cols(keys), *out)
 
 
 def _ranked(

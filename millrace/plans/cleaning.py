@@ -175,9 +175,9 @@ def clean_rules(df: DataFrame, rules: Sequence[Rule]) -> Cleaned:
 def clean_auto(df: DataFrame, flag: bool = False) -> tuple[Cleaned, dict[str, int]]:
     """Automatic imputation, then structural clean-up; returns row and column counts as well."""
     filled = impute.impute_auto(df, flag)
-    out, actions = features.structural_clean(filled.df)
+    rows = filled.rows
+    out, actions, kept = features.structural_clean(filled.df, rows)
     log = filled.log + [_entry("Dataset", a, "structure") for a in actions]
-    rows, kept = df.count(), out.count()
     stats = {"original_rows": rows, "cleaned_rows": kept, "rows_removed": rows - kept,
              "original_cols": len(df.columns), "cleaned_cols": len(out.columns),
              "cols_removed": len(df.columns) - len(out.columns),

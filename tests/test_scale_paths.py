@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import charts, hypothesis, ordered, series
+from millrace.operators import charts, hypothesis, ordered, quantiles, series
 from millrace.operators.quantiles import exact_quantiles, grouped_quantiles
 from millrace.session import TASK_ROWS_KEY
 
@@ -27,7 +27,15 @@ def frame_of(spark, pdf):
     return df.withColumn("gap", F.when(~F.isnan("gap"), F.col("gap"))).repartition(5)
 
 
-def test_global_quantiles(spark, skewed, small_tasks):
+@pytest.fixture(params=["sketch", "slices"])
+def quantile_path(request, monkeypatch):
+    """The sketch path, or the counting passes for data too large for a bracket."""
+    monkeypatch.setattr(quantiles, "SKETCH", 25)
+    monkeypatch.setattr(quantiles, "PLAIN_ROWS", 60)
+    monkeypatch.setattr(quantiles, "BRACKET_SHARE", 1 if request.param == "sketch" else 10**9)
+
+
+def test_global_quantiles(spark, skewed, small_tasks, quantile_path):
     probs = [0.0, 0.01, 0.25, 0.5, 0.77, 0.99, 1.0]
     found = exact_quantiles(frame_of(spark, skewed), {"v": probs, "id": probs, "gap": [0.5]})
     assert np.allclose(found["v"], np.quantile(skewed.v, probs))
@@ -35,18 +43,27 @@ def test_global_quantiles(spark, skewed, small_tasks):
     assert np.allclose(found["gap"], [skewed.gap.median()])
 
 
-def test_quantiles_of_wide_and_constant_values(spark, small_tasks):
+def test_quantiles_of_wide_and_constant_values(spark, small_tasks, quantile_path):
     wide = [float(v) for v in [-1e300, -1.0, 0.0, 1e-300, 2e-300, 1.0, 1e300] * 20]
     df = spark.createDataFrame([(v, 3.0) for v in wide], "a double, b double")
     found = exact_quantiles(df, {"a": [0.5, 0.9], "b": [0.1]})
     assert found["a"] == [float(np.quantile(wide, 0.5)), float(np.quantile(wide, 0.9))] and found["b"] == [3.0]
 
 
+def test_sketch_on_many_distinct_and_tied_values(spark):
+    values = np.concatenate([np.random.default_rng(1).normal(size=150_000), np.full(90_000, 0.5)])
+    df = spark.createDataFrame(pd.DataFrame({"v": values, "k": np.arange(240_000) % 3 == 0})).repartition(6)
+    probs = [0.0, 0.001, 0.25, 0.5, 0.6, 0.999, 1.0]
+    assert np.allclose(exact_quantiles(df, {"v": probs})["v"], np.quantile(values, probs), rtol=0, atol=0)
+    got = grouped_quantiles(df, ["k"], F.col("v"), [0.5, 0.9], ["a", "b"]).toPandas().set_index("k")
+    want = pd.DataFrame({"v": values, "k": np.arange(240_000) % 3 == 0}).groupby("k").v.quantile([0.5, 0.9]).unstack()
+    assert np.allclose(got.sort_index()[["a", "b"]], want.sort_index())
+
+
 def test_slicing_passes(spark, monkeypatch):
     """More rows than one finishing pass may hold forces several counting passes."""
-    from millrace.operators import quantiles
-
     monkeypatch.setattr(quantiles, "SLICES", 4)
+    monkeypatch.setattr(quantiles, "BRACKET_SHARE", 10**9)
     spark.conf.set(TASK_ROWS_KEY, "40")
     try:
         values = np.random.default_rng(1).lognormal(size=2000)
@@ -56,7 +73,7 @@ def test_slicing_passes(spark, monkeypatch):
         spark.conf.unset(TASK_ROWS_KEY)
 
 
-def test_grouped_quantiles_with_a_hot_key(spark, skewed, small_tasks):
+def test_grouped_quantiles_with_a_hot_key(spark, skewed, small_tasks, quantile_path):
     got = grouped_quantiles(frame_of(spark, skewed), ["key"], F.col("v"), [0.25, 0.5], ["q1", "q2"]).toPandas()
     want = skewed.groupby("key").v.quantile([0.25, 0.5]).unstack()
     got = got.set_index("key").sort_index()
