@@ -44,6 +44,12 @@ class Facts:
         self.dimensions = [d for d in schema.get("dimensions", []) if d in df.columns]
         self.date = schema.get("date") if schema.get("date") in df.columns else None
 
+    def warm(self) -> None:
+        """Compute what several findings share before they run side by side."""
+        self.nulls
+        if self.metrics:
+            self.stats, self.quantiles
+
     @cached_property
     def nulls(self) -> tuple[int, dict[str, int]]:
         return null_counts(self.df, self.df.columns)

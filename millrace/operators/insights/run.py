@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -29,9 +30,12 @@ def register_insight(finding: Finding) -> Finding:
 def run_insights(df: DataFrame, schema: dict[str, Any] | None = None, top_n: int = 8) -> list[Insight]:
     """The most important findings; one per type, metric and sign, padded with profile cards."""
     facts = Facts(df, schema or detect_schema(df))
+    facts.warm()
+    # findings are independent Spark jobs; a few at a time keep the cluster busy
+    with ThreadPoolExecutor(4) as pool:
+        results = list(pool.map(lambda finding: finding(facts), REGISTRY))
     seen, found = set(), []
-    for finding in REGISTRY:
-        insight = finding(facts)
+    for insight in results:
         if insight is None:
             continue
         sign = ("pos" if insight.meta.get("r", 0) >= 0 else "neg") if insight.type == "correlation" else ""

@@ -80,15 +80,15 @@ def exact_quantiles(
     picks = []
     for i, ps in enumerate(wanted.values()):
         probs = F.array(*[F.lit(p) for p in _bracket_probs(ps)])
-        picks += [F.count(f"v{i}").alias(f"n{i}"), F.percentile_approx(f"v{i}", probs, SKETCH).alias(f"s{i}"),
+        picks += [F.count(f"v{i}").alias(f"n{i}"), F.approx_count_distinct(f"v{i}").alias(f"d{i}"), F.percentile_approx(f"v{i}", probs, SKETCH).alias(f"s{i}"),
                   F.min(f"v{i}").alias(f"lo{i}"), F.max(f"v{i}").alias(f"hi{i}")]
     sketch = view.agg(*picks).first()
     out: dict[str, list[float | None]] = {n: [None] * len(ps) for n, ps in wanted.items()}
     brackets, large, small = {}, {}, {}
     for i, (name, ps) in enumerate(wanted.items()):
         n = sketch[f"n{i}"]
-        if 0 < n <= plain:
-            # too few rows for the sketch ranks to lie apart
+        if n and min(n, sketch[f"d{i}"]) <= plain:
+            # few distinct values: the built-in map is small, whatever the number of rows
             small[name] = F.percentile(f"v{i}", F.array(*[F.lit(p) for p in ps])).alias(f"q{i}")
         elif n and BRACKET_SHARE * n / SKETCH > limit:
             large[name] = ps
