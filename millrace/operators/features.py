@@ -127,10 +127,10 @@ def cast_strict(df: DataFrame, casts: dict[str, str]) -> DataFrame:
     return df.withColumns({n: col(n).cast(words.get(k.lower(), k)) for n, k in casts.items() if n in df.columns})
 
 
-def structural_clean(df: DataFrame, rows: int | None = None) -> tuple[DataFrame, list[str], int]:
+def structural_clean(df: DataFrame) -> tuple[DataFrame, list[str], int]:
     """Snake names, distinct rows, trimmed text, no empty rows, typed text columns.
 
-    One job over the distinct rows decides everything; the result is returned with its row count.
+    One job decides everything (two when rows repeat); the result is returned with its row count.
     """
     actions = []
     named = clean_names(df)
@@ -139,17 +139,25 @@ def structural_clean(df: DataFrame, rows: int | None = None) -> tuple[DataFrame,
         actions.append(f"Renamed {renamed} column(s) to snake_case")
     texts = text_names(named)
     trimmed = {n: strip(col(n)) for n in texts}
-    seen = named.distinct().withColumns(trimmed) if texts else named.distinct()
     empty = F.lit(True)
     for name in named.columns:
         empty = empty & missing(named, name)
     full = ~empty
-    picks = [F.count(F.lit(1)).alias("kept"), F.count_if(empty).alias("hollow")]
-    for i, name in enumerate(texts):
-        picks += [F.count_if(full & col(name).try_cast("double").isNotNull()).alias(f"n{i}"),
-                  F.count_if(full & parse_mixed(col(name)).isNotNull()).alias(f"d{i}")]
-    row = seen.agg(*picks).first()
-    rows = named.count() if rows is None else rows
+
+    def measures() -> list[Column]:
+        picks = [F.count(F.lit(1)).alias("kept"), F.count_if(empty).alias("hollow")]
+        for i, name in enumerate(texts):
+            value = trimmed[name]
+            picks += [F.count_if(full & value.try_cast("double").isNotNull()).alias(f"n{i}"),
+                      F.count_if(full & parse_mixed(value).isNotNull()).alias(f"d{i}")]
+        return picks
+
+    # row hashes tell whether any row repeats; whole rows are shuffled only when some do
+    hashes = F.count_distinct(F.xxhash64(*cols(named.columns)), F.hash(*cols(named.columns)))
+    row = named.agg(*measures(), hashes.alias("unlike")).first()
+    rows = row["kept"]
+    if row["unlike"] < rows:
+        row = named.distinct().agg(*measures()).first()
     repeats, left = rows - row["kept"], row["kept"] - row["hollow"]
     out = named.distinct() if repeats else named
     if repeats:

@@ -129,6 +129,17 @@ def sample_rows(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> D
     return order.drop("_draw")
 
 
+MAX_CLASSES = 1000
+
+
+def _class_sizes(df: DataFrame, label: str) -> list:
+    """(class, count) rows; a label with very many values is no class."""
+    rows = df.groupBy(col(label)).count().limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"label {label!r} has more than {MAX_CLASSES} classes")
+    return rows
+
+
 def sample_stratified(
     df: DataFrame, label: str, keys: Sequence[str], n: int, seed: int = 42
 ) -> DataFrame:
@@ -138,7 +149,7 @@ def sample_stratified(
     class sizes are right to the row and no class is sorted in one task.
     """
     require(df, [label, *keys])
-    sizes = df.groupBy(col(label)).count().collect()
+    sizes = _class_sizes(df, label)
     total = sum(r["count"] for r in sizes)
     if total <= n:
         return df
@@ -184,7 +195,7 @@ def split_train_test(
     if label is None:
         cut = exact_quantiles(tagged, {"_draw": [test]})["_draw"][0]
         return tagged.withColumn("is_test", F.col("_draw") <= cut).drop("_draw")
-    classes = [r[0] for r in tagged.groupBy(col(label)).count().collect()]
+    classes = [r[0] for r in _class_sizes(tagged, label)]
     cuts = _class_cuts(tagged, label, {k: test for k in classes})
     flag = F.lit(False)
     for value, cut in cuts.items():

@@ -176,7 +176,7 @@ def clean_auto(df: DataFrame, flag: bool = False) -> tuple[Cleaned, dict[str, in
     """Automatic imputation, then structural clean-up; returns row and column counts as well."""
     filled = impute.impute_auto(df, flag)
     rows = filled.rows
-    out, actions, kept = features.structural_clean(filled.df, rows)
+    out, actions, kept = features.structural_clean(filled.df)
     log = filled.log + [_entry("Dataset", a, "structure") for a in actions]
     stats = {"original_rows": rows, "cleaned_rows": kept, "rows_removed": rows - kept,
              "original_cols": len(df.columns), "cleaned_cols": len(out.columns),
