@@ -362,9 +362,9 @@ def kpi_stats(t):
 
 
 @query("id_like", """
-    SELECT 'c_nationkey' AS col, MIN(c_nationkey)::DOUBLE AS min, MAX(c_nationkey)::DOUBLE AS max, COUNT(DISTINCT c_nationkey) AS total FROM customer""")
+    SELECT 'nation_id' AS col, MIN(c_nationkey)::DOUBLE AS min, MAX(c_nationkey)::DOUBLE AS max, COUNT(DISTINCT c_nationkey) AS total FROM customer""")
 def id_like(t):
-    return charts.id_stats(t.customer.select("c_acctbal", "c_nationkey"))
+    return charts.id_stats(t.customer.select("c_acctbal", F.col("c_nationkey").alias("nation_id")))
 
 
 # ---- root cause, alerts

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
+from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -114,6 +115,12 @@ def as_double(df: DataFrame, name: str) -> Column:
     raise ValueError(f"column {name!r} is not numeric")
 
 
+def rounded(value: float, digits: int) -> float:
+    """Decimal rounding with ties away from zero, as ``F.round`` does it."""
+    step = Decimal(1).scaleb(-digits)
+    return float(Decimal(repr(float(value))).quantize(step, ROUND_HALF_UP))
+
+
 def micros(df: DataFrame, name: str) -> Column:
     """Microseconds since 1970 of the wall-clock time of a date or timestamp, in any session zone."""
     c = col(name)

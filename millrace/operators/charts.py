@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.columns import as_double, col, numeric_names, resolve_column
+from millrace.columns import as_double, col, numeric_names, resolve_column, rounded
 from millrace.functions.dates import period_start
 from millrace.operators.profile import correlation_long, id_like
 from millrace.operators.quantiles import exact_quantiles
@@ -188,7 +188,7 @@ def kpi_stats(df: DataFrame, dimension: str | None = None, metric: str | None =
     if metric in df.columns:
         s = column_stats(df, [metric])[metric]
         if s.known:
-            cards.append(("sum", f"Total {metric}", round(s.total, 2), f"Avg: {s.mean:.4f}"))
+            cards.append(("sum", f"Total {metric}", rounded(s.total, 2), f"Avg: {s.mean:.4f}"))
     if dimension in df.columns:
         found = modes(df, [dimension])[dimension]
         if found:
@@ -196,7 +196,7 @@ def kpi_stats(df: DataFrame, dimension: str | None = None, metric: str | None =
             cards.append(("distinct", f"Unique {dimension}", float(n), f"Top: {found[0]}"))
     cells = rows * len(df.columns)
     score = 100.0 - (sum(gaps.values()) / cells * 100 if cells else 0.0)
-    cards.append(("completeness", "Data Completeness", round(score, 1), completeness_band(score)))
+    cards.append(("completeness", "Data Completeness", rounded(score, 1), completeness_band(score)))
     return df.sparkSession.createDataFrame(cards, "type string, label string, value double, sub string")
 
 

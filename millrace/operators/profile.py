@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.columns import as_double, col, is_numeric, is_time, missing, numeric_names, text_names, type_of
+from millrace.columns import as_double, col, is_numeric, is_time, missing, numeric_names, rounded, text_names, type_of
 from millrace.operators.aggregates import value_counts
 from millrace.operators.quantiles import exact_quantiles
 from millrace.operators.stats import column_stats, distinct_counts, distinct_near, modes, null_counts, pearson
@@ -23,11 +23,11 @@ def table_profile(df: DataFrame, filename: str = "") -> dict[str, Any]:
     total = sum(gaps.values())
     columns = []
     for name in df.columns:
-        share = round(gaps[name] / max(rows, 1) * 100, 1)
+        share = rounded(gaps[name] / max(rows, 1) * 100, 1)
         columns.append({"name": name, "dtype": type_of(df, name).simpleString(), "null_pct": share,
-                        "quality": round(100 - share, 1)})
+                        "quality": rounded(100 - share, 1)})
     return {"filename": filename, "rows": rows, "cols": len(df.columns), "numeric": len(numeric_names(df)),
-            "missing": total, "missing_pct": round(total / max(cells, 1) * 100, 1), "columns": columns}
+            "missing": total, "missing_pct": rounded(total / max(cells, 1) * 100, 1), "columns": columns}
 
 
 def profile_table(df: DataFrame) -> DataFrame:
@@ -81,8 +81,8 @@ def summary_table(df: DataFrame) -> DataFrame:
         s = stats.get(name)
         sample = common[name][0] if name not in numbers and common[name] else None
         out.append((name, type_of(df, name).simpleString(), rows - gaps[name],
-                    round(gaps[name] / max(rows, 1) * 100, 1), distinct[name],
-                    *([None if v is None else round(float(v), 2) for v in (s.low, s.mean, s.high)] if s else [None] * 3),
+                    rounded(gaps[name] / max(rows, 1) * 100, 1), distinct[name],
+                    *([None if v is None else rounded(float(v), 2) for v in (s.low, s.mean, s.high)] if s else [None] * 3),
                     sample))
     return df.sparkSession.createDataFrame(
         out, "column string, type string, non_null long, missing_pct double, unique long, min double, mean double, "
@@ -109,7 +109,7 @@ def describe_schema(df: DataFrame, small: int = 10) -> DataFrame:
     sampled = [n for n in many if n not in texts]
     for name, values in sample_values(df, sampled).items():
         texts[name] = "sample=[" + ", ".join(values) + "]"
-    out = [(n, type_of(df, n).simpleString(), round(gaps[n] / max(rows, 1) * 100, 1), distinct[n], texts.get(n, "empty"))
+    out = [(n, type_of(df, n).simpleString(), rounded(gaps[n] / max(rows, 1) * 100, 1), distinct[n], texts.get(n, "empty"))
            for n in df.columns]
     return df.sparkSession.createDataFrame(
         out, "column string, type string, null_pct double, unique long, content string")
@@ -265,7 +265,7 @@ def correlation_long(df: DataFrame, names: Sequence[str], digits: int = 3) -> Da
     found = {}
     for i, (a, b) in enumerate(pairs):
         r = row[f"r{i}"]
-        found[(a, b)] = found[(b, a)] = 0.0 if r is None or r != r else round(r, digits)
+        found[(a, b)] = found[(b, a)] = 0.0 if r is None or r != r else rounded(r, digits)
     out = [(a, b, 1.0 if a == b else found[(a, b)]) for a in names for b in names]
     return df.sparkSession.createDataFrame(out, "row string, column string, r double")
 

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.columns import as_double, col, missing
+from millrace.columns import as_double, col, missing, rounded
 from millrace.operators.filters import coerced
 
 Check = dict[str, Any]
@@ -144,7 +144,7 @@ def score_checks(df: DataFrame, checks: Sequence[Check]) -> dict[str, Any]:
         if name not in df.columns:
             status, value = "FAILED", None
         elif kind == "not_null_threshold":
-            value = round(row[f"c{i}"] / max(row["n"], 1) * 100, 2)
+            value = rounded(row[f"c{i}"] / max(row["n"], 1) * 100, 2)
             status = "PASSED" if value <= float(check.get("max_null_pct", 5.0)) else "FAILED"
         elif kind == "uniqueness_check":
             value = float(repeated[name][1])
@@ -157,4 +157,4 @@ def score_checks(df: DataFrame, checks: Sequence[Check]) -> dict[str, Any]:
         results[i] = {"rule": kind, "column": name, "status": status, "observed": value}
     passed = sum(r["status"] == "PASSED" for r in results.values())
     return {"overall": "PASSED" if passed == len(checks) else "WARNING", "passed": passed, "total": len(checks),
-            "score": round(passed / max(1, len(checks)) * 100, 1), "checks": list(results.values())}
+            "score": rounded(passed / max(1, len(checks)) * 100, 1), "checks": list(results.values())}

@@ -25,7 +25,7 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     df = entry.entry(spark)
-    assert df.columns == ["c_mktsegment", "revenue", "n_orders"] and df.count() == 4
+    assert df.columns == ["c_mktsegment", "revenue", "n_orders"] and df.count() == 5
 
 
 def test_every_oracle_has_a_query():
