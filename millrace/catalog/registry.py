@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.session import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -35,7 +37,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], Dat
     def add(function: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = lambda spark, folder: function(Tables(spark, folder))
+        QUERIES[name] = lambda spark, folder: function(Tables(ship(spark), folder))
         if sql is not None:
             ORACLES[name] = sql
         return function

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,7 +32,28 @@ def build_session(app: str = "millrace", master: str | None = None, **conf: str)
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors once per application, so functions in Python find it."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = os.path.dirname(os.path.abspath(__file__))
+        handle, archive = tempfile.mkstemp(prefix="millrace-", suffix=".zip")
+        with os.fdopen(handle, "wb") as target, zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as packed:
+            for folder, _, names in os.walk(package):
+                for name in names:
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        packed.write(path, os.path.relpath(path, os.path.dirname(package)))
+        context.addPyFile(archive)
+        _SHIPPED.add(context.applicationId)
+        atexit.register(lambda: os.path.exists(archive) and os.remove(archive))
+    return spark
 
 
 def session_of(df: DataFrame) -> SparkSession:
@@ -49,7 +73,10 @@ def driver_rows(spark: SparkSession) -> int:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of our own only where none is set."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where a single machine runs all.
+
+    On a cluster every executor must see the folder, so an unset one is an error there.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if configured and not current:
@@ -57,7 +84,11 @@ def shared_root(spark: SparkSession) -> str:
         return configured
     if current:
         return configured or current
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="millrace-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(own)
     return own
 
