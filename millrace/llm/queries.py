@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import pii, shards, simhash, token_counts
+from millrace.llm import decontaminate, languages, packing, pii, shards, simhash, token_counts, toxicity
 from millrace.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,7 +41,36 @@ def op5_shards(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+@register
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    model = languages.fit(docs.where(~languages.held_out()))
+    return languages.identify(docs, model).select(
+        "doc_id", F.coalesce(languages.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@register
+def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark")
+    return decontaminate.contained_items(docs, items)
+
+
+@register
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    labels = read_table(spark, folder, "labels")
+    model = toxicity.fit(docs, labels.where(toxicity.training()))
+    return toxicity.score(docs, model).select(
+        "doc_id", F.coalesce(~toxicity.training(), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @register
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash.simhash_groups(read_table(spark, folder, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@register
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(read_table(spark, folder, "documents"))
