@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, languages, packing, pii, shards, simhash, token_counts, toxicity
+import corpus_pipeline
+
+from millrace.llm import (
+    decontaminate,
+    languages,
+    packing,
+    pii,
+    shards,
+    simhash,
+    suffix_dedup,
+    token_counts,
+    topk,
+    toxicity,
+)
 from millrace.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +46,33 @@ def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find_spans(read_table(spark, folder, "documents"))
 
 
+@register
+def op3_topk(spark: SparkSession, folder: str) -> DataFrame:
+    table = read_table(spark, folder, "embeddings")
+    vectors = table.select("vec_id", topk.integers(F.col("embedding")).alias("values"))
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+ORACLES["op3_topk"] = """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS values
+        FROM embeddings
+    ), s AS (
+        SELECT q.vec_id AS query_id, x.vec_id,
+               CAST(list_sum(list_transform(list_zip(q.values, x.values), lambda p: p[1] * p[2])) AS BIGINT) AS score
+        FROM v q JOIN v x ON q.vec_id <> x.vec_id WHERE q.vec_id % 100 = 0
+    )
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+    ) WHERE rank <= 10
+"""
+
+
+@register
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, folder, "documents"))
+
+
 @register
 def op5_shards(spark: SparkSession, folder: str) -> DataFrame:
     placed = shards.minimax_shards(read_table(spark, folder, "documents"))
@@ -55,6 +95,29 @@ def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contained_items(docs, items)
 
 
+def _duckdb_words(table: str, key: str) -> str:
+    marks = decontaminate.MARKS
+    codes = "||".join(f"chr({ord(m)})" for m in marks)
+    plain = f"translate(lower(coalesce(text, '')), {codes}, repeat(' ', {len(marks)}))"
+    return f"SELECT {key}, list_filter(string_split({plain}, ' '), lambda w: w <> '') AS w FROM {table}"
+
+
+def _duckdb_shingles(words: str, key: str) -> str:
+    places = "generate_series(1, greatest(len(w) - 4, 1))"
+    return (f"SELECT DISTINCT {key}, unnest(list_transform({places}, lambda i: array_to_string(w[i:i + 4], ' '))) AS g "
+            f"FROM ({words}) WHERE len(w) > 0")
+
+
+ORACLES["op7_decontaminate"] = f"""
+    WITH d AS ({_duckdb_shingles(_duckdb_words("documents", "doc_id"), "doc_id")}),
+         b AS ({_duckdb_shingles(_duckdb_words("benchmark", "item_id"), "item_id")}),
+         n AS (SELECT item_id, count(*) AS shingles FROM b GROUP BY item_id),
+         m AS (SELECT doc_id, item_id, count(*) AS shared FROM d JOIN b USING (g) GROUP BY doc_id, item_id)
+    SELECT doc_id, item_id, shared, shingles, shared / shingles AS containment
+    FROM m JOIN n USING (item_id) WHERE shared / shingles >= 0.8
+"""
+
+
 @register
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
@@ -74,3 +137,12 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read_table(spark, folder, "documents"))
+
+
+@register
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
+
+
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
