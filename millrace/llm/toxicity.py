@@ -11,7 +11,7 @@ The labelled rows used for the fit are bounded by ``rows`` (those with the small
 scoring reads every row. Labels of rows held out by ``training`` are never read.
 
 Defined cases: NULL counts as the empty text, which scores like any text without hits; without labelled
-rows every score is 0; several labels of one id count as toxic if one is; equal rows get equal scores.
+rows of both kinds every score is 0; several labels of one id count as toxic if one is; equal rows get equal scores.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ LEAST_SUPPORT = 4
 FLUSH = 200_000
 WINDOW = 5
 FEATURES = 7
-STRONG = 3.0  # log-odds from which one exact hit counts as evidence of its own
+STRONG = 3.0  # log-odds from which an exact hit, or two disguised ones, count as evidence of their own
 
 # fixed values: marks and words that speak for a quotation or for address
 MARKS = "\"'“”„«»‘’‹›`*_~.,;:!?()[]{}<>|#$%&+=-/\\…"
@@ -165,21 +165,25 @@ def features(texts: pa.Array, model: Model, trie: Trie) -> tuple[np.ndarray, lis
         place = words.places[at]
         term, edit, spelling = best[place], edits[place], words.spellings[place]
         weight = model.weights[term]
+        strong = weight >= STRONG
         if edit:
             inexact.append((doc, spelling))
+            # a spelling that no labelled row has is a likely disguise, but one alone may be chance
+            strong = strong and spelling not in model.spellings
             weight = model.spellings.get(spelling, 0.5 * weight)
         if weight <= 0:
             continue
         quoted, addressed = _near(words, at, words.offsets[doc], words.offsets[doc + 1])
         if quoted and not addressed:
-            weight *= 0.3
+            weight, strong = 0.3 * weight, False
         row = out[doc]
         row[1] = max(row[1], weight)
         row[2] += weight
         row[3 if edit else 4] += 1
         row[5] += 1 if addressed else 0
-        if not edit and weight >= STRONG:
-            row[6] = 1
+        if strong:
+            row[6] += 0.5 if edit else 1
+    out[:, 6] = out[:, 6] >= 1
     out[:, 2:6] = np.log1p(out[:, 2:6])
     return out, inexact
 
@@ -244,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     sample = materialize(docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
     all_toxic, n = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
-    if not n:
+    if all_toxic in (0, n):
         return Model([], [], {}, [])
     precise = (F.col("toxic") + 0.5) / (F.col("toxic") + F.col("clean") + 1) >= LEAST_PRECISION
     # of beginnings and words that select the same rows the longest beginning says most
