@@ -451,7 +451,7 @@ def dataset_type(t):
 
 @query("nl_insight", """
     WITH g AS (SELECT c_mktsegment s, AVG(c_acctbal) m FROM customer GROUP BY 1)
-    SELECT 'Across ' || (SELECT COUNT(*) FROM g) || ' c_mktsegment groups, ''' || s || ''' leads with a mean of ' || format('{:,.2f}', m) || '.' AS text
+    SELECT '''' || s || ''' has the highest c_acctbal of ' || (SELECT COUNT(*) FROM g) || ' c_mktsegment groups: ' || format('{:,.2f}', m) || '.' AS text
     FROM g ORDER BY m DESC LIMIT 1""")
 def nl_insight(t):
     plan = {"intent": "mean", "numeric_col": "c_acctbal", "category_col": "c_mktsegment"}

@@ -369,13 +369,12 @@ def sort(t):
 
 @query("sort_natural", """
     SELECT row_number() OVER (ORDER BY try_cast(size_text AS DOUBLE) NULLS LAST, size_text, p_partkey) AS pos,
-           p_partkey, size_text FROM (SELECT p_partkey, CAST(p_size AS VARCHAR) AS size_text FROM part)
-    QUALIFY pos <= 200""")
+           p_partkey, size_text FROM (SELECT p_partkey, CAST(p_size AS VARCHAR) AS size_text FROM part)""")
 def sort_natural(t):
     texts = t.part.select("p_partkey", F.col("p_size").cast("string").alias("size_text"))
-    top = texts.orderBy(*shape.natural_keys("size_text"), "p_partkey").limit(200)
-    sized = top.withColumn("_n", F.col("size_text").try_cast("double"))
-    return number_rows(sized, ["_n", "size_text", "p_partkey"], name="pos").drop("_n")
+    # numbers first, texts that are none last, as natural_keys orders them
+    sized = texts.withColumn("_n", F.col("size_text").try_cast("double")).withColumn("_none", F.col("_n").isNull())
+    return number_rows(sized, ["_none", "_n", "size_text", "p_partkey"], name="pos").drop("_n", "_none")
 
 
 @query("topn_group", """

@@ -215,6 +215,14 @@ def formula_column(
     return _Builder(names, clean, aggregates).build(tree)
 
 
+def formula_sql(df: DataFrame, text: str) -> str:
+    """The formula as SQL text with the meaning it has here, whatever dialect reads like it."""
+    spark = session_of(df)
+    bare = spark.createDataFrame([], df.schema)  # columns without the qualifiers of their source
+    tree = bare.select(formula_column(spark, text, df.columns).alias("x"))._jdf.queryExecution().analyzed()
+    return tree.expressions().apply(0).child().sql()
+
+
 def derive(df: DataFrame, name: str, formula: str) -> DataFrame:
     """Add a column computed by a formula; the formula is type-checked against the table."""
     value = formula_column(session_of(df), formula, df.columns)

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,13 +20,20 @@ from millrace.functions.distributions import (
 )
 from millrace.operators.ordered import Ordered
 from millrace.operators.stats import pearson
-from millrace.session import driver_rows, session_of
+from millrace.session import session_of
 
 METHODS = ("fdr_bh", "fdr_by", "bonferroni")
 
 
 # ---- false discovery rate
 
+def harmonic(m: int) -> float:
+    """1 + 1/2 + … + 1/m: asymptotic series at m + 64, where its first terms are exact to the last digit."""
+    n = m + 64
+    tail = math.fsum(1.0 / i for i in range(m + 1, n + 1))
+    return math.log(n) + 0.5772156649015329 + 1 / (2 * n) - 1 / (12 * n**2) + 1 / (120 * n**4) - 1 / (252 * n**6) - tail
+
+
 def adjust_p_values(p_values: Sequence[float], method: str = "fdr_bh") -> list[float]:
     """Adjusted p-values in the order given (a short list, e.g. one per column pair)."""
     if method not in METHODS:
@@ -34,7 +42,7 @@ def adjust_p_values(p_values: Sequence[float], method: str = "fdr_bh") -> list[f
     clean = [1.0 if p is None or math.isnan(p) else min(max(p, 0.0), 1.0) for p in p_values]
     if method == "bonferroni":
         return [min(p * m, 1.0) for p in clean]
-    factor = sum(1.0 / i for i in range(1, m + 1)) if method == "fdr_by" else 1.0
+    factor = harmonic(m) if method == "fdr_by" else 1.0
     out, floor = [0.0] * m, 1.0
     by_size = sorted(range(m), key=lambda i: clean[i])
     for rank in range(m, 0, -1):
@@ -53,8 +61,7 @@ def adjust_p_table(df: DataFrame, p: str, method: str = "fdr_bh", alpha: float =
     if method == "bonferroni":
         q = F.least(F.least(F.greatest(held, F.lit(0.0)), F.lit(1.0)) * m, F.lit(1.0))
         return df.withColumn("q_value", q).withColumn("reject", F.col("q_value") <= alpha)
-    factor = sum(1.0 / i for i in range(1, m + 1)) if method == "fdr_by" and m <= 1_000_000 else (
-        math.log(m) + 0.5772156649015329 + 1 / (2 * m) if method == "fdr_by" else 1.0)
+    factor = harmonic(m) if method == "fdr_by" else 1.0
     names = df.columns
     work = df.withColumn("_p", F.least(F.greatest(held, F.lit(0.0)), F.lit(1.0)))
     run = Ordered(work, ["_p", *names])
@@ -142,14 +149,22 @@ def chi_square_stats(counts: dict[tuple[Any, Any], int]) -> tuple[float, int, in
     return statistic, dof, total, len(left), len(right)
 
 
-def contingency(df: DataFrame, a: str, b: str) -> dict[tuple[Any, Any], int]:
-    """Counts of value pairs; refused when there are more than the driver may hold."""
-    limit = driver_rows(session_of(df))
-    table = df.dropna(subset=[a, b]).groupBy(col(a).cast("string"), col(b).cast("string")).count()
-    rows = table.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{a!r} × {b!r} has more than {limit} cells")
-    return {(r[0], r[1]): r[2] for r in rows}
+def independence(df: DataFrame, a: str, b: str) -> tuple[float, int, int, int, int]:
+    """The same five numbers for two columns of a table, from cells and margins that stay in Spark."""
+    cells = df.dropna(subset=[a, b]).groupBy(col(a).cast("string").alias("a"), col(b).cast("string").alias("b")).agg(
+        F.count(F.lit(1)).alias("n"))
+    left = cells.groupBy("a").agg(F.sum("n").alias("l"))
+    right = cells.groupBy("b").agg(F.sum("n").alias("r"))
+    rows, total = left.agg(F.count(F.lit(1)), F.sum("l")).first()
+    columns = right.count()
+    dof = (rows - 1) * (columns - 1)
+    if dof <= 1:
+        return chi_square_stats({(r["a"], r["b"]): r["n"] for r in cells.collect()}) if total else (0.0, 0, 0, 0, 0)
+    expected = F.col("l") * F.col("r").cast("double") / total
+    # pairs that never occur add their expected number, which is what the observed pairs leave
+    apart = F.sum((F.col("n") - expected) ** 2 / expected).alias("seen")
+    row = cells.join(left, "a").join(right, "b").agg(apart, F.sum(expected).alias("covered")).first()
+    return row["seen"] + total - row["covered"], dof, total, rows, columns
 
 
 def categorical_associations(
@@ -258,7 +273,7 @@ def mann_whitney(
     if n1 < 2 or n2 < 2:
         raise ValueError("each group needs at least two values")
     u = row["r1"] - n1 * (n1 + 1) / 2
-    if min(n1, n2) <= 8 and row["ties"] == 0 and n1 * n2 <= 5000:
+    if min(n1, n2) <= 8 and row["ties"] == 0:
         p = _exact_u(n1, n2, u)
     else:
         spread = n1 * n2 / 12 * ((total + 1) - row["ties"] / (total * (total - 1)))
@@ -268,21 +283,31 @@ def mann_whitney(
             "groups": {names[0]: n1, names[1]: n2}}
 
 
+# cells of the table of rank sums that the driver fills at most (160 MB)
+RANK_CELLS = 20_000_000
+
+
 def _exact_u(n1: int, n2: int, u: float) -> float:
-    """Two-sided p from the count of rank sums, for small groups."""
-    ways = [[0] * (n1 * n2 + 1) for _ in range(n1 + 1)]
-    ways[0][0] = 1
-    for j in range(1, n1 + n2 + 1):
-        for i in range(min(j, n1), 0, -1):
-            shift = j - i
-            if shift > n2:
-                continue
-            for s in range(n1 * n2, shift - 1, -1):
-                ways[i][s] += ways[i - 1][s - shift]
-    final = ways[n1]
-    top = max(u, n1 * n2 - u)
-    tail = sum(final[s] for s in range(math.ceil(top - 1e-9), n1 * n2 + 1))
-    return min(1.0, 2.0 * tail / sum(final))
+    """Two-sided p from the number of arrangements for every rank sum; the smaller group has at most 8 rows.
+
+    The counts are the coefficients of a Gaussian binomial, built up one row of the small group at a time:
+    times (1 - q^(n2 + i)), divided by (1 - q^i). Only the tail is built. Where even that is too long, the
+    second group is so large that its ranks are a continuum: a sum of n1 uniform draws.
+    """
+    n1, n2 = min(n1, n2), max(n1, n2)
+    reach = n1 * n2 - math.ceil(max(u, n1 * n2 - u) - 1e-9)
+    if reach >= RANK_CELLS:
+        x = (reach + 0.5 + n1 * (n1 + 1) / 4) / (n2 + (n1 + 1) / 2)
+        parts = [(-1) ** k * math.comb(n1, k) * (x - k) ** n1 for k in range(math.floor(x) + 1)]
+        return min(1.0, 2.0 * math.fsum(parts) / math.factorial(n1))
+    ways = np.zeros(reach + 1)
+    ways[0] = 1.0
+    for i in range(1, n1 + 1):
+        if n2 + i <= reach:
+            ways[n2 + i :] -= ways[: reach + 1 - n2 - i].copy()
+        for start in range(i):
+            ways[start::i] = np.cumsum(ways[start::i])
+    return min(1.0, 2.0 * float(ways.sum()) / math.comb(n1 + n2, n1))
 
 
 def anova(df: DataFrame, a: str, b: str, alpha: float = 0.05, limit: int = 6) -> dict[str, Any]:
@@ -306,7 +331,7 @@ def anova(df: DataFrame, a: str, b: str, alpha: float = 0.05, limit: int = 6) ->
 
 def chi_square(df: DataFrame, a: str, b: str, alpha: float = 0.05) -> dict[str, Any]:
     """Test of independence with Cramér's V."""
-    statistic, dof, n, r, c = chi_square_stats(contingency(df, a, b))
+    statistic, dof, n, r, c = independence(df, a, b)
     p = chi_square_upper(session_of(df), statistic, dof)
     k = min(r - 1, c - 1)
     v = math.sqrt(statistic / n / k) if k > 0 and n else 0.0

@@ -101,7 +101,9 @@ def run_join(tables: dict[str, DataFrame], spec: JoinSpec) -> DataFrame:
             for c in step.get("conditions", [])
             if c.get("left_col") and c.get("right_col")
         ]
-        if how == "cross" or not pairs:
+        if not pairs and how != "cross":
+            raise ValueError(f"the join with {name!r} has no condition; ask for CROSS if every pair is wanted")
+        if how == "cross":
             out = out.crossJoin(right)
         else:
             out = out.join(right, reduce(lambda a, b: a & b, pairs), how)

@@ -199,10 +199,24 @@ def id_like(df: DataFrame, name: str, distinct: int | None = None, rows: int | N
     return low is not None and 1900 <= low and high <= 2100
 
 
-def _looks_like_dates(values: list) -> bool:
-    shapes = (r"\d{4}[-/]\d{1,2}[-/]\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?Z?\Z", r"\d{1,2}[-/]\d{1,2}[-/]\d{4}\Z",
-              r"\d{4}-\d{2}\Z", r"[A-Za-z]{3,9} \d{1,2},? \d{4}\Z", r"\d{1,2} [A-Za-z]{3,9} \d{4}\Z")
-    return bool(values) and all(any(re.match(s, str(v).strip()) for s in shapes) for v in values)
+# fixed values: shapes of dates written as text
+DATE_SHAPES = (
+    r"\d{4}[-/]\d{1,2}[-/]\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?Z?", r"\d{1,2}[-/]\d{1,2}[-/]\d{4}", r"\d{4}-\d{2}",
+    r"[A-Za-z]{3,9} \d{1,2},? \d{4}", r"\d{1,2} [A-Za-z]{3,9} \d{4}",
+)
+
+
+def _time_like(df: DataFrame, names: list[str]) -> set[str]:
+    """Columns all of whose known values are years (numbers) or written dates (text); one pass over all rows."""
+    if not names:
+        return set()
+    shape = "^(" + "|".join(DATE_SHAPES) + ")$"
+    picks = []
+    for i, name in enumerate(names):
+        good = col(name).between(1900, 2100) if is_numeric(df, name) else F.trim(col(name).cast("string")).rlike(shape)
+        picks += [F.count(col(name)).alias(f"n{i}"), F.count_if(good).alias(f"g{i}")]
+    row = df.agg(*picks).first()
+    return {name for i, name in enumerate(names) if row[f"n{i}"] and row[f"n{i}"] == row[f"g{i}"]}
 
 
 def detect_schema(df: DataFrame, importance: dict[str, float] | None = None) -> dict[str, Any]:
@@ -212,34 +226,18 @@ def detect_schema(df: DataFrame, importance: dict[str, float] | None = None) ->
     schema: dict[str, Any] = {"date": None, "metrics": [], "dimensions": [], "feature_importance": importance or {},
                               "dataset_type": dataset_type(df.columns), "rows": rows, "distinct": distinct}
     hinted = [n for n in df.columns if not is_time(df, n) and any(w in n.lower() for w in DATE_WORDS)]
-    probes = {n: [r[0] for r in df.select(col(n)).where(col(n).isNotNull()).limit(10).collect()] for n in hinted}
-
-    def use(kind: str, name: str) -> None:
-        if name not in schema[kind]:
-            schema[kind].append(name)
-
+    timed = _time_like(df, hinted)
+    roles = {}
     for name in df.columns:
-        folded = name.lower()
-        if is_time(df, name):
-            schema["date"] = schema["date"] or name
-            continue
-        if name in probes:
-            if is_numeric(df, name):
-                if probes[name] and all(1900 <= v <= 2100 for v in probes[name]):
-                    use("dimensions", name)
-                    schema["date"] = schema["date"] or name
-                    continue
-            elif _looks_like_dates(probes[name]):
-                schema["date"] = schema["date"] or name
-                continue
-        looks_id = any(w in folded for w in ID_WORDS)
-        if is_numeric(df, name):
-            if looks_id or 0 < distinct[name] <= max(10, rows * 0.05):
-                use("dimensions", name)
-            else:
-                use("metrics", name)
-        elif looks_id or 0 < distinct[name] <= max(50, rows * 0.2):
-            use("dimensions", name)
+        share = 0.05 if is_numeric(df, name) else 0.2
+        few = 0 < distinct[name] <= max(10 if is_numeric(df, name) else 50, rows * share)
+        grouping = few or any(w in name.lower() for w in ID_WORDS)
+        roles[name] = ("time" if is_time(df, name) or (name in timed and not is_numeric(df, name)) else
+                       "dimension" if name in timed or grouping else "metric" if is_numeric(df, name) else "text")
+    dated = [n for n in df.columns if roles[n] == "time" or n in timed]
+    schema["date"] = dated[0] if dated else None
+    schema["metrics"] = [n for n in df.columns if roles[n] == "metric"]
+    schema["dimensions"] = [n for n in df.columns if roles[n] == "dimension"]
     return schema
 
 

@@ -46,19 +46,6 @@ def _positions(p: float, n: int) -> tuple[int, int, float]:
     return math.floor(at), math.ceil(at), at - math.floor(at)
 
 
-def _pick(rank: int, low: float, high: float, below: int, at_low: int, at_high: int, inside: Sequence[float]):
-    """Value of a rank from the counts around a bracket; None when the rank lies outside it."""
-    place = rank - below
-    if place < 0:
-        return None
-    if place < at_low:
-        return low
-    place -= at_low
-    if place < len(inside):
-        return inside[place]
-    return high if place - len(inside) < at_high else None
-
-
 def exact_quantiles(
     df: DataFrame,
     wanted: dict[str, Sequence[float]],
@@ -97,16 +84,20 @@ def exact_quantiles(
                 low = sketch[f"lo{i}"] if p <= 2.0 / SKETCH else sketch[f"s{i}"][2 * k]
                 high = sketch[f"hi{i}"] if p >= 1 - 2.0 / SKETCH else sketch[f"s{i}"][2 * k + 1]
                 brackets[(i, name, k, p, n)] = (low, high)
-    if brackets or small:
-        counts = list(small.values())
-        for b, ((i, *_), (low, high)) in enumerate(brackets.items()):
-            counts += [c.alias(f"{k}{b}") for k, c in _around(F.col(f"v{i}"), F.lit(low), F.lit(high)).items()]
-        row = view.agg(*counts).first()
+    if small:
+        row = view.agg(*small.values()).first()
         out |= {name: list(row[b]) for b, name in enumerate(small)}
-        for b, ((i, name, k, p, n), (low, high)) in enumerate(brackets.items()):
-            first, second, share = _positions(p, n)
-            spot = (low, high, row[f"below{b}"], row[f"low{b}"], row[f"high{b}"], row[f"inside{b}"])
-            x, y = _pick(first, *spot), _pick(second, *spot)
+    for part in _within_budget(brackets, limit):
+        counts, picks = [], []
+        for b, ((i, *_), (low, high)) in enumerate(part):
+            counts += [c.alias(f"{k}{b}") for k, c in _around(F.col(f"v{i}"), F.lit(low), F.lit(high)).items()]
+        for b, ((_, _, _, p, n), (low, high)) in enumerate(part):
+            first, second, _ = _positions(p, n)
+            picks += [_ranked_around(b, F.lit(r), F.lit(low), F.lit(high)).alias(f"{c}{b}") for c, r in (("x", first), ("y", second))]
+        # the ranks are picked where the values are: two numbers for each bracket leave Spark
+        row = view.agg(*counts).select(*picks).first()
+        for b, ((_, name, k, p, n), _) in enumerate(part):
+            x, y, share = row[f"x{b}"], row[f"y{b}"], _positions(p, n)[2]
             if x is None or y is None:
                 large[name] = wanted[name]
             else:
@@ -118,6 +109,29 @@ def exact_quantiles(
     return out
 
 
+def _within_budget(brackets: dict, limit: int) -> list[list]:
+    """Brackets in groups whose inside values together stay within the rows of one task."""
+    parts, held = [], 0.0
+    for key, ends in brackets.items():
+        expected = BRACKET_SHARE * key[4] / SKETCH
+        if not parts or held + expected > limit:
+            parts.append([])
+            held = 0.0
+        parts[-1].append((key, ends))
+        held += expected
+    return parts
+
+
+def _ranked_around(b: int, rank: Column, low: Column, high: Column) -> Column:
+    """Value of a rank from the aggregates of bracket ``b``; NULL when the rank lies outside it."""
+    place = rank - F.col(f"below{b}")
+    after = place - F.col(f"low{b}")
+    inside = F.col(f"inside{b}")
+    return (F.when(place < 0, F.lit(None).cast("double")).when(after < 0, low)
+            .when(after < F.size(inside), F.get(inside, after.cast("int")))
+            .when(after - F.size(inside) < F.col(f"high{b}"), high))
+
+
 def _around(v: Column, low: Column, high: Column) -> dict[str, Column]:
     """Aggregates that locate a rank in [low, high]; equal values at the ends are only counted."""
     return {

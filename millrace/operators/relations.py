@@ -2,38 +2,66 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
-from millrace.columns import is_numeric
+from millrace.columns import is_numeric, snake
 from millrace.operators.stats import distinct_near
 
-KEY_WORDS = ("id", "key", "code", "num", "uuid")
+# fixed values: words that mark a column as a key, and names of a table's own key
+KEY_WORDS = frozenset(("id", "ids", "key", "code", "num", "no", "uuid", "pk"))
+OWN_KEYS = frozenset((("id",), ("pk",), ("key",)))
 UNIQUE_SHARE = 0.98
 MIN_CONFIDENCE = 0.65
 
 
-def _stem(name: str) -> str:
-    return name.replace("_id", "").replace("id", "")
+class Name(NamedTuple):
+    """A column name in words: ``CustomerID`` of orders is ("customer", "id")."""
+
+    table: tuple[str, ...]
+    words: tuple[str, ...]
+
+    @property
+    def is_key(self) -> bool:
+        return any(w in KEY_WORDS or w.endswith(("key", "code", "uuid")) for w in self.words)
+
+    @property
+    def subject(self) -> tuple[str, ...]:
+        return tuple(w for w in self.words if w not in KEY_WORDS)
+
+
+def _named(table: str, column: str) -> Name:
+    return Name(tuple(snake(table).split("_")), tuple(snake(column).split("_")))
+
+
+def _refers(a: Name, b: Name) -> bool:
+    """Whether a names the own key of b's table."""
+    return b.words in OWN_KEYS and a.is_key and a.subject in (b.table, (*b.table[:-1], b.table[-1].removesuffix("s")))
+
+
+def _overlap(a: Name, b: Name) -> bool:
+    shared = set(a.subject) & set(b.subject)
+    return bool(shared) and len(shared) == min(len(set(a.subject)), len(set(b.subject)))
+
+
+# what two names can have in common, with the confidence that this gives
+RULES: tuple[tuple[float, str, Callable[[Name, Name], bool]], ...] = (
+    (0.98, "{left} points to the key of {right_table}", _refers),
+    (0.98, "{right} points to the key of {left_table}", lambda a, b: _refers(b, a)),
+    (0.95, "both tables have the key {left}", lambda a, b: a.words == b.words and a.is_key),
+    (0.85, "the keys {left} and {right} are about the same thing", lambda a, b: a.is_key and b.is_key and _overlap(a, b)),
+    (0.70, "both tables have a column {left}", lambda a, b: a.words == b.words),
+)
 
 
 def name_match(left_table: str, left: str, right_table: str, right: str) -> tuple[float, str]:
-    """Confidence and reason that two columns name the same thing; 0 when they do not."""
-    a, b = left.lower().strip(), right.lower().strip()
-    if a == b:
-        if any(w in a for w in KEY_WORDS):
-            return 0.95, f"Same key column: {left}"
-        return 0.70, f"Same column name: {left}"
-    if a == f"{right_table}_id" and b in ("id", "pk"):
-        return 0.98, f"Foreign key: {left_table}.{left} -> {right_table}.{right}"
-    if b == f"{left_table}_id" and a in ("id", "pk"):
-        return 0.98, f"Foreign key: {right_table}.{right} -> {left_table}.{left}"
-    if "id" in a and "id" in b:
-        one, two = _stem(a), _stem(b)
-        if one and two and (one in two or two in one):
-            return 0.85, f"Similar id columns: {left} ~ {right}"
-    return 0.0, ""
+    """Confidence and reason of the strongest rule that two columns meet; 0 when they meet none."""
+    a, b = _named(left_table, left), _named(right_table, right)
+    score, text = max(((s, t) for s, t, test in RULES if test(a, b)), default=(0.0, ""), key=lambda r: r[0])
+    return score, text.format(left=left, right=right, left_table=left_table, right_table=right_table)
 
 
 def _cardinality(left: float, right: float) -> str:

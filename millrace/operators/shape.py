@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.columns import col, cols, distinct_names, present, require, snake
+from millrace.operators.ordered import number_rows
 from millrace.operators.quantiles import exact_quantiles
 
 
@@ -129,15 +130,12 @@ def sample_rows(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> D
     return order.drop("_draw")
 
 
-MAX_CLASSES = 1000
-
-
-def _class_sizes(df: DataFrame, label: str) -> list:
-    """(class, count) rows; a label with very many values is no class."""
-    rows = df.groupBy(col(label)).count().limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"label {label!r} has more than {MAX_CLASSES} classes")
-    return rows
+def _ranked_in_class(df: DataFrame, label: str, keys: Sequence[str], seed: int) -> DataFrame:
+    """``df`` with the place of a row in its class by key hash (_rank) and the class's size (_size)."""
+    drawn = df.withColumn("_draw", F.pmod(_draw(keys, seed), F.lit(1 << 52)).cast("double"))
+    ranked = number_rows(drawn, ["_draw", *keys], [label], "_rank").drop("_draw")
+    sizes = df.groupBy(col(label).alias("_class")).agg(F.count(F.lit(1)).alias("_size"))
+    return ranked.join(sizes, col(label).eqNullSafe(F.col("_class"))).drop("_class")
 
 
 def sample_stratified(
@@ -145,44 +143,15 @@ def sample_stratified(
 ) -> DataFrame:
     """About n rows with the class shares of the whole table; all rows when the table is smaller.
 
-    A class keeps the rows whose key hash lies below its own exact quantile of hashes, so the
-    class sizes are right to the row and no class is sorted in one task.
+    A class keeps the rows with its smallest key hashes, so class sizes are right to the row, whatever
+    their number; classes too large for one task are ranked block by block.
     """
     require(df, [label, *keys])
-    sizes = _class_sizes(df, label)
-    total = sum(r["count"] for r in sizes)
+    total = df.count()
     if total <= n:
         return df
-    return _keep_share(df, label, keys, {r[0]: round(r["count"] * n / total) for r in sizes}, sizes, seed)
-
-
-def _keep_share(df, label, keys, wanted, sizes, seed) -> DataFrame:
-    share = F.pmod(_draw(keys, seed), F.lit(1 << 52)).cast("double")
-    tagged = df.withColumn("_draw", share)
-    spec = {}
-    for row in sizes:
-        keep = wanted[row[0]]
-        if 0 < keep < row["count"]:
-            spec[row[0]] = (keep - 0.5) / (row["count"] - 1)
-    cuts = _class_cuts(tagged, label, spec)
-    test = F.lit(False)
-    for row in sizes:
-        same = col(label).eqNullSafe(F.lit(row[0]))
-        if row[0] in cuts:
-            test = F.when(same, F.col("_draw") <= cuts[row[0]]).otherwise(test)
-        elif wanted[row[0]] > 0:
-            test = F.when(same, True).otherwise(test)
-    return tagged.where(test).drop("_draw")
-
-
-def _class_cuts(tagged: DataFrame, label: str, spec: dict) -> dict:
-    if not spec:
-        return {}
-    wide = tagged.select(
-        *[F.when(col(label).eqNullSafe(F.lit(k)), F.col("_draw")).alias(f"c{i}") for i, k in enumerate(spec)]
-    )
-    found = exact_quantiles(wide, {f"c{i}": [p] for i, p in enumerate(spec.values())})
-    return {k: found[f"c{i}"][0] for i, k in enumerate(spec)}
+    share = F.bround(F.col("_size") * n / F.lit(total))
+    return _ranked_in_class(df, label, keys, seed).where(F.col("_rank") <= share).select(*cols(df.columns))
 
 
 def split_train_test(
@@ -190,17 +159,13 @@ def split_train_test(
 ) -> DataFrame:
     """Mark each row ``is_test``; with a label the share is exact in every class."""
     require(df, keys)
-    draw = F.pmod(_draw(keys, seed), F.lit(1 << 52)).cast("double")
-    tagged = df.withColumn("_draw", draw)
     if label is None:
+        tagged = df.withColumn("_draw", F.pmod(_draw(keys, seed), F.lit(1 << 52)).cast("double"))
         cut = exact_quantiles(tagged, {"_draw": [test]})["_draw"][0]
         return tagged.withColumn("is_test", F.col("_draw") <= cut).drop("_draw")
-    classes = [r[0] for r in _class_sizes(tagged, label)]
-    cuts = _class_cuts(tagged, label, {k: test for k in classes})
-    flag = F.lit(False)
-    for value, cut in cuts.items():
-        flag = F.when(col(label).eqNullSafe(F.lit(value)), F.col("_draw") <= cut).otherwise(flag)
-    return tagged.withColumn("is_test", flag).drop("_draw")
+    last = F.floor(F.lit(test) * (F.col("_size") - 1)) + 1
+    ranked = _ranked_in_class(df, label, keys, seed).withColumn("is_test", F.col("_rank") <= last)
+    return ranked.select(*cols(df.columns), "is_test")
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:

@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 
 from millrace.columns import distinct_names, quoted, snake
+from millrace.functions.formula import formula_sql
 from millrace.operators.joins import join_kind
 from millrace.plans.procedure import Node, Procedure, _Run, _NODES, bind_parameters, execution_order
 
@@ -115,7 +116,13 @@ def _joined(node: Node, parents: list[str], frames: list[DataFrame], params: dic
 
 def _computed(node: Node, parents: list[str], frames: list[DataFrame], params: dict[str, Any]) -> str:
     name = quoted(node["config"]["derived_column"])
-    return f"SELECT *, ({node['config']['sql_expression']}) AS {name} FROM {parents[0]}"
+    formula = formula_sql(frames[0], node["config"]["sql_expression"])
+    there = [n.lower() for n in frames[0].columns]
+    picks = [f"({formula}) AS {name}" if n.lower() == node["config"]["derived_column"].lower() else quoted(n)
+             for n in frames[0].columns]
+    if node["config"]["derived_column"].lower() not in there:
+        picks.append(f"({formula}) AS {name}")
+    return f"SELECT {', '.join(picks)} FROM {parents[0]}"
 
 
 def _united(node: Node, parents: list[str], frames: list[DataFrame], params: dict[str, Any]) -> str:
@@ -144,7 +151,7 @@ def procedure_sql(
 ) -> str:
     """SQL with the same result as the procedure; inputs are views of the same names.
 
-    Formulas are written as given, so they should keep to functions with one meaning everywhere.
+    Formulas are written out from their parsed tree, so they mean what they mean in the procedure.
     """
     bound = bind_parameters(procedure.parameters, params)
     run = _Run(inputs, bound)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.columns import col, micros
-from millrace.operators.alerts import ALERT_SCHEMA, DEFAULT_RULES, baseline, evaluate
+from millrace.operators.alerts import BASELINE_SCHEMA, DEFAULT_RULES, baseline, evaluate
 from millrace.plans.cleaning import Rule, clean_rules
 from millrace.plans.quality import Check, gate_fails, run_checks, verdict_table
 
@@ -90,12 +90,15 @@ def alert_stream(
     stream: DataFrame, base: DataFrame, metrics: Sequence[str], sink: str, checkpoint: str,
     rules: Sequence[dict[str, Any]] = DEFAULT_RULES, once: bool = True,
 ) -> StreamingQuery:
-    """Compare every batch with a stored baseline and append the alerts it raises."""
+    """Compare every batch with a stored baseline and append the alerts it raises.
+
+    The baseline (a row for each metric) is read once, when the stream starts.
+    """
+    rows = base.collect()
 
     def handle(batch: DataFrame, number: int) -> None:
-        fired = evaluate(base, baseline(batch, metrics), rules)
-        table = batch.sparkSession.createDataFrame(fired, ALERT_SCHEMA)
-        table.coalesce(1).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        fixed = batch.sparkSession.createDataFrame(rows, BASELINE_SCHEMA)
+        evaluate(fixed, baseline(batch, metrics), rules).coalesce(1).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return _start(stream, handle, checkpoint, once)
 

@@ -18,52 +18,64 @@ def node(node_id, kind, inputs=(), **config):
 
 
 @pytest.fixture
-def transactions(spark):
-    return spark.createDataFrame(
-        [(101, "EMEA", 250.0, "ok"), (102, "AMER", 300.0, "ok"), (103, "EMEA", 150.0, "ok"), (104, "EMEA", 50.0, "ok"),
-         (105, "EMEA", 400.0, "ok"), (105, "EMEA", 400.0, "ok")],
-        "`Transaction ID` long, Region string, `Amount (USD)` double, Status string")
-
-
-def tax_procedure():
-    return Procedure("sp_tax", [
-        node("src", "source"), node("names", "clean_names", ["src"]),
-        node("once", "dedupe", ["names"], subset=["transaction_id"]),
-        node("emea", "filter", ["once"], rules=[{"col": "region", "op": "=", "param": "region"},
-                                                {"col": "amount_usd", "op": ">=", "param": "floor"}]),
-        node("tax", "compute", ["emea"], derived_column="tax_amount", sql_expression="amount_usd * 0.20"),
-        node("gate", "assertion_gate", ["tax"], assertions=[{"type": "not_null", "column": "tax_amount"},
-                                                            {"type": "unique", "column": "transaction_id"}]),
-        node("out", "output", ["gate"])],
-        parameters=[{"name": "floor", "type": "float", "default": 100.0, "min_value": 0},
-                    {"name": "region", "type": "enum", "default": "EMEA", "allowed_values": ["EMEA", "AMER"]}],
-        golden_tests=[{"name": "emea", "expected_row_count": 3, "expected_aggregates": {"tax_amount": 160.0,
-                       "max(amount_usd)": 400.0}, "expected_columns": ["transaction_id", "region", "amount_usd", "status",
-                                                                       "tax_amount"]},
-                      {"name": "wrong", "params": {"region": "AMER"}, "expected_row_count": 3}])
-
-
-def test_pipeline_counts(transactions):
-    result = run_procedure(tax_procedure(), {"default": transactions})
-    assert [e["rows_out"] for e in result.lineage] == [6, 6, 5, 3, 3, 3, 3]
-    assert [e["rows_in"] for e in result.lineage] == [6, 6, 6, 5, 3, 3, 3]
-    drops = {e["node_id"]: e["dropped_count"] for e in result.lineage}
-    assert drops["once"] == 1 and drops["emea"] == 2
-    assert {r["transaction_id"]: r["tax_amount"] for r in result.df.collect()}[101] == 50.0
-    assert (result.rows_in, result.rows_out) == (6, 3)
-    assert all(len(e["config_hash"]) == 12 for e in result.lineage)
-
-
-def test_counts_survive_an_empty_branch(transactions):
-    p = Procedure("p", [node("s", "source"), node("none", "filter", ["s"], rules=[{"col": "Region", "val": "XX"}]),
-                        node("j", "join", ["s", "none"], left_on="Transaction ID", right_on="Transaction ID")])
-    result = run_procedure(p, {"default": transactions})
-    assert [e["rows_out"] for e in result.lineage] == [6, 0, 0]
-
-
-def test_golden_cases_run(transactions):
-    found = {r["name"]: r for r in run_golden_tests(tax_procedure(), {"default": transactions})}
-    assert found["emea"]["passed"] and not found["wrong"]["passed"]
+def parcels(spark):
+    rows = [(1, "north", 2.0, "road"), (2, "south", 8.5, "rail"), (3, "north", 12.0, "rail"), (3, "north", 12.0, "rail"),
+            (4, "west", 0.5, None), (5, "north", 30.0, "air"), (6, "south", 4.0, "road"), (6, "south", 4.0, "road")]
+    return spark.createDataFrame(rows, "`Parcel No` long, Hub string, `Weight (kg)` double, Carrier string")
+
+
+def fee_procedure():
+    return Procedure("parcel_fees", [
+        node("in", "source"), node("tidy", "clean_names", ["in"]),
+        node("heavy", "filter", ["tidy"], rules=[{"col": "weight_kg", "op": ">", "param": "least"}]),
+        node("single", "dedupe", ["heavy"], subset=["parcel_no"]),
+        node("fee", "compute", ["single"], derived_column="fee", sql_expression="weight_kg * 1.5 + 2"),
+        node("check", "assertion_gate", ["fee"], assertions=[{"type": "unique", "column": "parcel_no"},
+                                                             {"type": "not_null", "column": "fee"}]),
+        node("hub", "filter", ["check"], rules=[{"col": "hub", "op": "=", "param": "hub"}]), node("end", "output", ["hub"])],
+        parameters=[{"name": "least", "type": "float", "default": 3.0, "min_value": 0},
+                    {"name": "hub", "type": "enum", "default": "north", "allowed_values": ["north", "south"]}],
+        golden_tests=[{"name": "north", "expected_row_count": 2, "expected_aggregates": {"fee": 67.0, "min(weight_kg)": 12.0},
+                       "expected_columns": ["parcel_no", "hub", "weight_kg", "carrier", "fee"]},
+                      {"name": "wrong", "params": {"hub": "south"}, "expected_row_count": 5}])
+
+
+def test_pipeline_counts(parcels):
+    result = run_procedure(fee_procedure(), {"default": parcels})
+    assert [e["rows_out"] for e in result.lineage] == [8, 8, 6, 4, 4, 4, 2, 2]
+    assert [e["rows_in"] for e in result.lineage] == [8, 8, 8, 6, 4, 4, 4, 2]
+    assert {e["node_id"]: e["dropped_count"] for e in result.lineage if e["dropped_count"]} == {"heavy": 2, "single": 2, "hub": 2}
+    assert {r["parcel_no"]: r["fee"] for r in result.df.collect()} == {3: 20.0, 5: 47.0}
+    assert (result.rows_in, result.rows_out) == (8, 2)
+    assert len({e["config_hash"] for e in result.lineage}) >= 6
+
+
+def test_counts_survive_an_empty_branch(parcels):
+    p = Procedure("p", [node("s", "source"), node("none", "filter", ["s"], rules=[{"col": "Hub", "val": "nowhere"}]),
+                        node("j", "join", ["s", "none"], left_on="Parcel No", right_on="Parcel No")])
+    result = run_procedure(p, {"default": parcels})
+    assert [e["rows_out"] for e in result.lineage] == [8, 0, 0]
+
+
+def test_golden_cases_run(parcels):
+    found = {r["name"]: r for r in run_golden_tests(fee_procedure(), {"default": parcels})}
+    assert found["north"]["passed"] and not found["wrong"]["passed"]
+
+
+@pytest.mark.parametrize("formula", [
+    "log(weight_kg + 1) + (weight_kg ^ 2)", "concat(hub, '/', carrier)", "weight_kg / 0", "substr(hub, 0, 2)",
+    "CASE WHEN weight_kg > 3 THEN 'it''s heavy' ELSE carrier END", "round(weight_kg / 3, 2) - -parcel_no % 4",
+    "cast(weight_kg as varchar)", "hub = 'north' and not (carrier is null)", "replace(hub, 'o', '0')",
+])
+def test_sql_text_of_formulas(spark, parcels, formula):
+    p = Procedure("p", [node("s", "source", dataset_name="parcels"), node("n", "clean_names", ["s"]),
+                        node("c", "compute", ["n"], derived_column="x", sql_expression=formula),
+                        node("again", "compute", ["c"], derived_column="hub", sql_expression="upper(hub)")])
+    parcels.createOrReplaceTempView("parcels")
+    want = build(p, {"parcels": parcels})
+    got = spark.sql(procedure_sql(p, {"parcels": parcels}))
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
 def test_gate_stops_and_warns(spark):
@@ -112,38 +124,38 @@ def test_referential_and_score(spark):
     assert score_checks(child, [{"type": "uniqueness_check", "column": "pid"}])["score"] == 100.0
 
 
-def test_sql_text_has_the_same_result(spark, transactions):
+def test_sql_text_has_the_same_result(spark, parcels):
     parts = [
-        node("src", "source", dataset_name="tx"), node("n", "clean_names", ["src"]),
-        node("fill", "impute", ["n"], columns={"amount_usd": {"strategy": "median"}, "status": {"strategy": "constant", "value": "it's"}}),
-        node("d", "dedupe", ["fill"]), node("d2", "dedupe", ["d"], subset=["transaction_id"]),
-        node("c", "cast", ["d2"], casts={"transaction_id": "varchar"}),
-        node("f", "filter", ["c"], rules=[{"col": "region", "op": "IN", "val": ["EMEA", "AMER"]}, {"col": "status", "op": "IS NOT NULL"}]),
-        node("g", "filter", ["c"], rules=[{"col": "amount_usd", "op": "<", "val": 100.0}]),
-        node("u", "union", ["f", "g"]), node("x", "compute", ["u"], derived_column="twice", sql_expression="amount_usd * 2"),
-        node("j", "join", ["x", "f"], join_type="left", left_on="transaction_id", right_on="transaction_id"),
-        node("a", "aggregate", ["j"], group_by=["region"], metrics=[{"agg": "sum", "col": "twice"}, {"agg": "count", "col": "*", "alias": "n"}]),
+        node("src", "source", dataset_name="px"), node("n", "clean_names", ["src"]),
+        node("fill", "impute", ["n"], columns={"weight_kg": {"strategy": "median"}, "carrier": {"strategy": "constant", "value": "it's"}}),
+        node("d", "dedupe", ["fill"]), node("d2", "dedupe", ["d"], subset=["parcel_no"]),
+        node("c", "cast", ["d2"], casts={"parcel_no": "varchar"}),
+        node("f", "filter", ["c"], rules=[{"col": "hub", "op": "IN", "val": ["north", "south"]}, {"col": "carrier", "op": "IS NOT NULL"}]),
+        node("g", "filter", ["c"], rules=[{"col": "weight_kg", "op": "<", "val": 5.0}]),
+        node("u", "union", ["f", "g"]), node("x", "compute", ["u"], derived_column="twice", sql_expression="weight_kg * 2"),
+        node("j", "join", ["x", "f"], join_type="left", left_on="parcel_no", right_on="parcel_no"),
+        node("a", "aggregate", ["j"], group_by=["hub"], metrics=[{"agg": "sum", "col": "twice"}, {"agg": "count", "col": "*", "alias": "n"}]),
         node("o", "output", ["a"])]
     p = Procedure("p", parts)
-    transactions.createOrReplaceTempView("tx")
-    want = sorted(map(tuple, build(p, {"tx": transactions}).collect()))
-    assert sorted(map(tuple, spark.sql(procedure_sql(p, {"tx": transactions})).collect())) == want
+    parcels.createOrReplaceTempView("px")
+    want = sorted(map(tuple, build(p, {"px": parcels}).collect()))
+    assert sorted(map(tuple, spark.sql(procedure_sql(p, {"px": parcels})).collect())) == want
 
 
-def test_versions_and_idempotent_runs(spark, transactions, tmp_path):
+def test_versions_and_idempotent_runs(spark, parcels, tmp_path):
     store = ProcedureStore(spark, str(tmp_path / "procs"))
-    p = tax_procedure()
+    p = fee_procedure()
     store.publish(p)
     with pytest.raises(ValueError, match="already exists"):
         store.publish(p)
     snapshots = Snapshots(spark, str(tmp_path / "snaps"))
-    first = store.run("sp_tax", {"default": transactions}, key="k", snapshots=snapshots)
-    again = store.run("sp_tax", {"default": transactions}, key="k", snapshots=snapshots)
+    first = store.run("parcel_fees", {"default": parcels}, key="k", snapshots=snapshots)
+    again = store.run("parcel_fees", {"default": parcels}, key="k", snapshots=snapshots)
     assert first["created_at"] == again["created_at"] and len(snapshots.manifest()) == 1
-    assert snapshots.manifest()[0]["action"] == "procedure_run:sp_tax"
+    assert snapshots.manifest()[0]["action"] == "procedure_run:parcel_fees"
     with pytest.raises(ValueError, match="not found"):
-        store.rollback("sp_tax", "9.9.9")
-    assert store.versions("sp_tax") == ["1.0.0"] and store.load("sp_tax").content_hash() == p.content_hash()
+        store.rollback("parcel_fees", "9.9.9")
+    assert store.versions("parcel_fees") == ["1.0.0"] and store.load("parcel_fees").content_hash() == p.content_hash()
 
 
 def test_stale_version_is_refused(spark, tmp_path):

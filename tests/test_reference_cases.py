@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.columns import distinct_names, resolve_column, snake
 from millrace.operators import aggregates, charts, features, filters, impute, joins, outliers, shape
+from millrace.operators.joins import JoinSpec, run_join
 from millrace.operators.insights import insight_report, insight_table, run_insights
 from millrace.operators.profile import detect_schema, table_profile
 from millrace.operators.root_cause import root_cause
@@ -39,7 +40,7 @@ def test_golden_transform(golden):
     assert kept.count() == 4
     made = run_steps(golden, [{"op": "create", "name": "w", "formula": "Units_Sold * 10"}])
     assert [r["w"] for r in made.orderBy("Order ID").collect()] == [50, 20, 40, 10, 30, 100]
-    assert "Created column 'w'" in describe_steps([{"op": "create", "name": "w"}])
+    assert describe_steps([{"op": "create", "name": "w", "formula": "v * 2"}, {"op": "drop_cols", "cols": ["v"]}]) == "add w = v * 2; leave out v"
 
 
 def test_golden_cleaning(golden):
@@ -93,6 +94,13 @@ def test_three_way_join_with_colliding_names(spark):
         joins.run_join({"a": a}, joins.JoinSpec("nope"))
 
 
+def test_a_join_without_condition_must_say_cross(spark):
+    tables = {"a": spark.range(3), "b": spark.range(2)}
+    with pytest.raises(ValueError, match="CROSS"):
+        run_join(tables, JoinSpec("a", [{"table": "b", "join_type": "inner", "conditions": []}]))
+    assert run_join(tables, JoinSpec("a", [{"table": "b", "join_type": "cross"}])).count() == 6
+
+
 def test_group_options(spark):
     df = spark.createDataFrame([(None, 1, None), ("a", 2, None), ("a", 5, None)], "k string, v long, w double")
     out = aggregates.group_aggregate(df, ["k"], {"v": "median", "w": "sum"})

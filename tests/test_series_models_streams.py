@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from millrace.operators import learn, series
 from millrace.operators.forecast import forecast_table
 from millrace.sources.models import ModelRegistry
-from millrace.sources.presets import load_preset
 from millrace.streaming import jobs
 
 
@@ -137,17 +136,3 @@ def test_append_trend_waits_for_the_watermark(spark, tmp_path, table):
     closed = jobs.read_batches(spark, sink).count()
     days = table("events").select(F.col("ts").cast("date")).distinct().count()
     assert 0 < closed < days
-
-
-@pytest.mark.parametrize("name,sizes", [
-    ("ecommerce", {"customers": 400, "products": 100, "orders": 1200}), ("saas", {"organizations": 250, "subscriptions": 600}),
-    ("healthcare", {"patients": 350, "clinical_visits": 1000})])
-def test_presets_are_stable_and_related(spark, name, sizes):
-    tables = load_preset(spark, name)
-    assert {n: d.count() for n, d in tables.items()} == sizes
-    assert all(d.subtract(load_preset(spark, name)[n]).count() == 0 for n, d in tables.items())
-    if name == "ecommerce":
-        orphan = tables["orders"].join(tables["customers"], "customer_id", "left_anti")
-        assert orphan.count() == 0
-        mean = tables["orders"].agg(F.avg("total_amount")).first()[0]
-        assert 110 < mean < 130
