@@ -93,7 +93,16 @@ def table_summary(t):
     return out.drop("dtype")
 
 
-@query("detect_schema")
+@query("detect_schema", """
+    WITH d AS (SELECT COUNT(*) AS n, COUNT(DISTINCT l_quantity) AS q, COUNT(DISTINCT l_extendedprice) AS e, COUNT(DISTINCT l_discount) AS d,
+                      COUNT(DISTINCT l_tax) AS t, COUNT(DISTINCT l_returnflag) AS f, COUNT(DISTINCT l_linestatus) AS s FROM lineitem),
+    c AS (SELECT unnest([{'name': 'l_quantity', 'k': q}, {'name': 'l_extendedprice', 'k': e}, {'name': 'l_discount', 'k': d}, {'name': 'l_tax', 'k': t}],
+                        recursive := true), n FROM d)
+    SELECT 'date' AS role, 'l_shipdate' AS "column" UNION ALL SELECT 'dataset_type', 'sales'
+    UNION ALL SELECT CASE WHEN k <= greatest(10, n * 0.05) THEN 'dimension' ELSE 'metric' END, name FROM c
+    UNION ALL SELECT 'dimension', unnest(['l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber'])
+    UNION ALL SELECT 'dimension', 'l_returnflag' FROM d WHERE f <= greatest(50, n * 0.2)
+    UNION ALL SELECT 'dimension', 'l_linestatus' FROM d WHERE s <= greatest(50, n * 0.2)""")
 def detect_schema(t):
     roles = profile.detect_schema(t.lineitem)
     rows = [("date", roles["date"]), ("dataset_type", roles["dataset_type"])]
@@ -302,7 +311,9 @@ def chart_box(t):
     return _kinds(charts.box(t.events, "value"), q1=6, median=6, q3=6)
 
 
-@query("chart_scatter")
+@query("chart_scatter", """
+    SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem
+    ORDER BY md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, 42)), l_orderkey, l_linenumber, l_partkey LIMIT 500""")
 def chart_scatter(t):
     return charts.scatter(t.lineitem, "l_quantity", "l_extendedprice", ["l_orderkey", "l_linenumber", "l_partkey"])
 

@@ -140,7 +140,9 @@ def ml_attribution(t):
     return learn.permutation_importance(_trained(t, data, algorithms=["rf"]), data, ["doc_id"])
 
 
-@query("ml_register")
+@query("ml_register", """
+    SELECT 'quality-1' AS model_id, 'archived' AS status, CASE WHEN COUNT(DISTINCT quality) <= 20 THEN 'classification' ELSE 'regression' END AS task FROM labels
+    UNION ALL SELECT 'quality-2', 'production', CASE WHEN COUNT(DISTINCT quality) <= 20 THEN 'classification' ELSE 'regression' END FROM labels""")
 def ml_register(t):
     registry = ModelRegistry(t.spark, scratch_path(t.spark, "models"))
     trained = _trained(t, algorithms=["linear"])

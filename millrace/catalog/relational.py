@@ -402,12 +402,14 @@ def tail5(t):
     return shape.last_rows(t.events.select("event_id", "ts", "value"), ["ts", "event_id"], 5, ["value"])
 
 
-@query("sample_n")
+@query("sample_n", "SELECT * FROM orders ORDER BY md5(concat_ws('|', o_orderkey, 42)), o_orderkey LIMIT 500")
 def sample_n(t):
     return shape.sample_rows(t.orders, ["o_orderkey"], 500)
 
 
-@query("sample_stratified")
+@query("sample_stratified", """
+    WITH c AS (SELECT event_type, COUNT(*) AS n, SUM(COUNT(*)) OVER () AS total FROM events GROUP BY 1)
+    SELECT event_type, CASE WHEN total <= 2000 THEN n ELSE round_even(n * 2000 / total::DOUBLE, 0)::BIGINT END AS n FROM c""")
 def sample_stratified(t):
     return (shape.sample_stratified(t.events, "event_type", ["event_id"], 2000)
             .groupBy("event_type").agg(F.count(F.lit(1)).alias("n")))

@@ -32,10 +32,29 @@ def corr_fdr(t):
                       F.round("effect_size", 6).alias("effect_size"))
 
 
-@query("corr_fdr_significance")
+def _tail(density: str) -> str:
+    """Twice the area under a density of x from x0 on, by Simpson's rule."""
+    weight = "CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    inner = density.replace("{x}", "(x0 + i * 0.01)")
+    return f"least(1.0, 2 * (SELECT SUM({weight} * {inner}) FROM range(4001) r(i)) * 0.01 / 3)"
+
+
+_T_TAIL = _tail("exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) * pow(1 + {x} * {x} / v, -(v + 1) / 2)")
+_NORMAL_TAIL = _tail("exp(-{x} * {x} / 2) / sqrt(2 * pi())")
+
+
+@query("corr_fdr_significance", f"""
+    WITH r AS ({" UNION ALL ".join(f"SELECT '{a}' AS column_a, '{b}' AS column_b, corr({a}, {b}) AS r, COUNT(*) AS n FROM {_LINES}" for a, b in _PAIRS)}),
+    z AS (SELECT *, abs(r) * sqrt((n - 2) / (1 - r * r)) AS x0, (n - 2)::DOUBLE AS v FROM r),
+    p AS (SELECT column_a, column_b, {_T_TAIL} AS p_value FROM z),
+    k AS (SELECT *, row_number() OVER (ORDER BY p_value) AS k, COUNT(*) OVER () AS m FROM p),
+    q AS (SELECT *, least(1.0, MIN(p_value * m / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q_value FROM k)
+    SELECT column_a, column_b, ROUND(p_value, 6) AS p_value, ROUND(q_value, 6) AS q_value, q_value <= 0.05 AS significant FROM q""")
 def corr_fdr_significance(t):
     lines = _lines(t)
-    return hypothesis.pair_table(lines, hypothesis.numeric_correlations(lines, _NUM))
+    table = hypothesis.pair_table(lines, hypothesis.numeric_correlations(lines, _NUM))
+    return table.select("column_a", "column_b", F.round("p_value", 6).alias("p_value"), F.round("q_value", 6).alias("q_value"),
+                        "significant")
 
 
 _P = "(SELECT p_partkey, (p_partkey * 37 % 1000 + 0.5) / 1000 * (p_size / 50.0) AS p FROM part)"
@@ -127,13 +146,36 @@ def anova(t):
     return hypothesis.result_table(t.orders, [found]).select("test", "statistic")
 
 
-@query("hypothesis_p_values")
+@query("hypothesis_p_values", f"""
+    WITH c AS (SELECT c_acctbal AS v, c_mktsegment AS g FROM customer WHERE c_mktsegment IN ('BUILDING', 'FURNITURE')),
+    m AS (SELECT g, COUNT(*)::DOUBLE AS n, AVG(v) AS m, var_samp(v) AS s FROM c GROUP BY 1),
+    t AS (SELECT (a.m - b.m) / sqrt(a.s / a.n + b.s / b.n) AS stat, pow(a.s / a.n + b.s / b.n, 2)
+                 / (pow(a.s / a.n, 2) / (a.n - 1) + pow(b.s / b.n, 2) / (b.n - 1)) AS v FROM m a, m b WHERE a.g < b.g),
+    tp AS (SELECT 't_test' AS test, {_T_TAIL} AS p_value FROM (SELECT abs(stat) AS x0, v FROM t)),
+    k AS (SELECT g, v, rank() OVER (ORDER BY v) + (COUNT(*) OVER (PARTITION BY v) - 1) / 2.0 AS r FROM c),
+    u AS (SELECT SUM(CASE WHEN g = 'BUILDING' THEN r ELSE 0 END) AS r1, COUNT(*) FILTER (g = 'BUILDING')::DOUBLE AS n1, COUNT(*)::DOUBLE AS n FROM k),
+    e AS (SELECT COALESCE(SUM(pow(q, 3) - q), 0) AS ties FROM (SELECT COUNT(*)::DOUBLE AS q FROM c GROUP BY v)),
+    w AS (SELECT r1 - n1 * (n1 + 1) / 2 AS u, n1, n - n1 AS n2, n, ties FROM u, e),
+    mp AS (SELECT 'mann_whitney' AS test, {_NORMAL_TAIL} AS p_value FROM (SELECT greatest(0, (greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5)
+             / sqrt(n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1))))) AS x0 FROM w)),
+    g AS (SELECT COUNT(*)::DOUBLE AS n, AVG(o_totalprice) AS m, var_samp(o_totalprice) AS s FROM orders GROUP BY o_orderpriority),
+    h AS (SELECT SUM(n * m) / SUM(n) AS grand, SUM(n) AS n, SUM((n - 1) * s) AS within FROM g),
+    f AS (SELECT (SELECT SUM(g.n * pow(g.m - grand, 2)) FROM g) / within * (n - 5) / 4 AS f, n - 5 AS d FROM h),
+    ap AS (SELECT 'anova' AS test, pow(1 - x, d / 2) * (1 + d / 2 * x) AS p_value FROM (SELECT 4 * f / (4 * f + d) AS x, d FROM f)),
+    o AS (SELECT o_orderstatus AS a, o_orderpriority AS b, COUNT(*)::DOUBLE AS n FROM orders GROUP BY 1, 2),
+    x AS (SELECT SUM(pow(o.n - l.n * r.n / z.n, 2) / (l.n * r.n / z.n)) / 2 AS h FROM o
+          JOIN (SELECT a, SUM(n) AS n FROM o GROUP BY 1) l ON o.a = l.a JOIN (SELECT b, SUM(n) AS n FROM o GROUP BY 1) r ON o.b = r.b,
+          (SELECT SUM(n) AS n FROM o) z),
+    cp AS (SELECT 'chi_square' AS test, exp(-h) * (1 + h + h * h / 2 + h * h * h / 6) AS p_value FROM x)
+    SELECT test, ROUND(p_value, 6) AS p_value, p_value < 0.05 AS significant
+    FROM (SELECT * FROM tp UNION ALL SELECT * FROM mp UNION ALL SELECT * FROM ap UNION ALL SELECT * FROM cp)""")
 def hypothesis_p_values(t):
-    pair = t.customer.where("c_mktsegment IN ('BUILDING', 'FURNITURE')")
-    found = [hypothesis.run_test(pair, k, "c_acctbal", "c_mktsegment") for k in ("t_test", "mann_whitney")]
-    found += [hypothesis.run_test(t.orders, "anova", "o_totalprice", "o_orderpriority"),
-              hypothesis.run_test(t.orders, "chi_square", "o_orderstatus", "o_orderpriority")]
-    return hypothesis.result_table(t.orders, found)
+    groups = ["BUILDING", "FURNITURE"]
+    found = [hypothesis.t_test(t.customer, "c_acctbal", "c_mktsegment", groups=groups),
+             hypothesis.mann_whitney(t.customer, "c_acctbal", "c_mktsegment", groups=groups),
+             hypothesis.run_test(t.orders, "anova", "o_totalprice", "o_orderpriority"),
+             hypothesis.run_test(t.orders, "chi_square", "o_orderstatus", "o_orderpriority")]
+    return hypothesis.result_table(t.orders, found).select("test", F.round("p_value", 6).alias("p_value"), "significant")
 
 
 # ---- insights

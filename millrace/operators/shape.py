@@ -124,9 +124,10 @@ def _draw(keys: Sequence[str], seed: int) -> Column:
 
 
 def sample_rows(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:
-    """Exactly n rows (or all), the same ones on every run: the n smallest key hashes."""
+    """Exactly n rows (or all), the same ones on every run and engine: the n smallest MD5 of key and seed."""
     require(df, keys)
-    order = df.withColumn("_draw", _draw(keys, seed)).orderBy("_draw", *cols(keys)).limit(n)
+    draw = F.md5(F.concat_ws("|", *[col(k).cast("string") for k in keys], F.lit(str(seed))).cast("binary"))
+    order = df.withColumn("_draw", draw).orderBy("_draw", *cols(keys)).limit(n)
     return order.drop("_draw")
 
 
