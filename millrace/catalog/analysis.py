@@ -406,12 +406,12 @@ def root_change(t):
 
 
 @query("segment_union", """
-    WITH a AS (SELECT p_brand AS value, SUM(p_size) v FROM part WHERE p_partkey % 2 = 0 AND p_size < 4 GROUP BY 1),
-         b AS (SELECT p_brand AS value, SUM(p_size) v FROM part WHERE p_partkey % 2 = 1 AND p_size > 47 GROUP BY 1)
+    WITH a AS (SELECT p_brand AS value, SUM(p_size) v FROM part WHERE p_partkey % 2 = 0 GROUP BY 1),
+         b AS (SELECT p_brand AS value, SUM(p_size) v FROM part WHERE p_partkey % 2 = 1 GROUP BY 1)
     SELECT COALESCE(a.value, b.value) AS value, COALESCE(a.v, 0)::DOUBLE AS prev, COALESCE(b.v, 0)::DOUBLE AS curr FROM a FULL JOIN b ON a.value = b.value""")
 def segment_union(t):
-    prev = t.part.where("p_partkey % 2 = 0 AND p_size < 4").withColumn("late", F.lit(False))
-    curr = t.part.where("p_partkey % 2 = 1 AND p_size > 47").withColumn("late", F.lit(True))
+    prev = t.part.where("p_partkey % 2 = 0").withColumn("late", F.lit(False))
+    curr = t.part.where("p_partkey % 2 = 1").withColumn("late", F.lit(True))
     both = prev.unionByName(curr)
     return both.groupBy(F.col("p_brand").alias("value")).agg(
         F.sum(F.when(~F.col("late"), F.col("p_size")).otherwise(0)).cast("double").alias("prev"),

@@ -315,9 +315,9 @@ def cast_datetime(t):
     return out.withColumns({n: F.col(n).cast("date") for n in ("iso", "us", "bad")})
 
 
-@query("cast_strict", "SELECT o_orderkey, CAST(o_totalprice AS BIGINT) AS o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders WHERE o_totalprice = FLOOR(o_totalprice)")
+@query("cast_strict", "SELECT o_orderkey, CAST(FLOOR(o_totalprice) AS BIGINT) AS o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders")
 def cast_strict(t):
-    whole = t.orders.where("o_totalprice = floor(o_totalprice)").select("o_orderkey", "o_totalprice", "o_orderdate")
+    whole = t.orders.select("o_orderkey", F.floor("o_totalprice").cast("double").alias("o_totalprice"), "o_orderdate")
     return features.cast_strict(whole, {"o_totalprice": "BIGINT", "o_orderdate": "DATE"})
 
 

@@ -55,10 +55,17 @@ def join_inner(t):
                  columns=["o_orderkey", "o_totalprice", "c_name", "n_name"]))
 
 
+# every second customer has no order, and orders of the second half have no customer
+_SPREAD = "(SELECT * REPLACE (o_custkey * 2 AS o_custkey) FROM orders)"
+
+
+def _spread(t):
+    return t.orders.withColumn("o_custkey", F.col("o_custkey") * 2)
+
+
 def _one_join(t, how, columns):
-    big = t.orders.where("o_totalprice > 300000")
     return joins.run_join(
-        {"customer": t.customer, "orders": big},
+        {"customer": t.customer, "orders": _spread(t)},
         JoinSpec("customer", [{"table": "orders", "join_type": how,
                                "conditions": _on("customer", "c_custkey", "o_custkey")}], columns=columns))
 
@@ -66,36 +73,36 @@ def _one_join(t, how, columns):
 _PAIR = ["c_custkey", "c_name", "o_orderkey", "o_totalprice"]
 
 
-@query("join_left", """
+@query("join_left", f"""
     SELECT c_custkey, c_name, o_orderkey, o_totalprice FROM customer
-    LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) ON c_custkey = o_custkey""")
+    LEFT JOIN {_SPREAD} ON c_custkey = o_custkey""")
 def join_left(t):
     return _one_join(t, "LEFT", _PAIR)
 
 
-@query("join_default", """
+@query("join_default", f"""
     SELECT c_custkey, c_name, o_orderkey, o_totalprice FROM customer
-    LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) ON c_custkey = o_custkey""")
+    LEFT JOIN {_SPREAD} ON c_custkey = o_custkey""")
 def join_default(t):
     return _one_join(t, "LOOKUP", _PAIR)
 
 
-@query("join_right", """
-    SELECT c_custkey, c_name, o_orderkey, o_totalprice FROM (SELECT * FROM customer WHERE c_acctbal > 0)
-    RIGHT JOIN orders ON c_custkey = o_custkey""")
+@query("join_right", f"""
+    SELECT c_custkey, c_name, o_orderkey, o_totalprice FROM customer
+    RIGHT JOIN {_SPREAD} ON c_custkey = o_custkey""")
 def join_right(t):
     return joins.run_join(
-        {"customer": t.customer.where("c_acctbal > 0"), "orders": t.orders},
+        {"customer": t.customer, "orders": _spread(t)},
         JoinSpec("customer", [{"table": "orders", "join_type": "RIGHT",
                                "conditions": _on("customer", "c_custkey", "o_custkey")}], columns=_PAIR))
 
 
-@query("join_full", """
-    SELECT c_custkey, c_name, o_orderkey, o_totalprice FROM (SELECT * FROM customer WHERE c_acctbal > 0)
-    FULL JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) ON c_custkey = o_custkey""")
+@query("join_full", f"""
+    SELECT c_custkey, c_name, o_orderkey, o_totalprice FROM customer
+    FULL JOIN {_SPREAD} ON c_custkey = o_custkey""")
 def join_full(t):
     return joins.run_join(
-        {"customer": t.customer.where("c_acctbal > 0"), "orders": t.orders.where("o_totalprice > 300000")},
+        {"customer": t.customer, "orders": _spread(t)},
         JoinSpec("customer", [{"table": "orders", "join_type": "FULL",
                                "conditions": _on("customer", "c_custkey", "o_custkey")}], columns=_PAIR))
 
@@ -103,7 +110,7 @@ def join_full(t):
 @query("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 def join_cross(t):
     return joins.run_join({"region": t.region, "nation": t.nation},
-                          JoinSpec("region", [{"table": "nation"}], columns=["r_name", "n_name"]))
+                          JoinSpec("region", [{"table": "nation", "join_type": "CROSS"}], columns=["r_name", "n_name"]))
 
 
 @query("join_semi", """

@@ -31,10 +31,10 @@ def src_csv(t):
                       "c_mktsegment")
 
 
-@query("src_csv_encoding", "SELECT doc_id, lang, source FROM documents WHERE lang <> 'en'")
+@query("src_csv_encoding", "SELECT doc_id, lang, source FROM documents")
 def src_csv_encoding(t):
     path = scratch_path(t.spark, "latin-csv")
-    rows = t.documents.where("lang <> 'en'").select("doc_id", "lang", "source", F.lit("é").alias("mark"))
+    rows = t.documents.select("doc_id", "lang", "source", F.lit("é").alias("mark"))
     rows.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
     out = files.read_csv(t.spark, path, "doc_id bigint, lang string, source string, mark string")
     return out.where("mark = 'é'").drop("mark")

@@ -122,8 +122,7 @@ def chi_square(t):
     SELECT 't_test' AS test, ROUND((a.m - b.m) / sqrt(a.v / a.n + b.v / b.n), 4) AS statistic,
       ROUND(abs(a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)), 4) AS effect_size FROM a, b""")
 def t_test(t):
-    found = hypothesis.run_test(t.customer.where("c_mktsegment IN ('BUILDING', 'FURNITURE')"), "t_test", "c_acctbal",
-                                "c_mktsegment")
+    found = hypothesis.t_test(t.customer, "c_acctbal", "c_mktsegment", groups=["BUILDING", "FURNITURE"])
     return hypothesis.result_table(t.customer, [found]).select("test", "statistic", "effect_size")
 
 

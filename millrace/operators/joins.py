@@ -62,7 +62,24 @@ def rollup(df: DataFrame, table: str, spec: dict[str, Any]) -> DataFrame:
 
 
 def _field(table: str, name: str) -> Column:
-    return F.col(f"{quoted(table)}.{quoted(name)}")
+    return F.col(quoted(f"{table}.{name}"))
+
+
+def _labelled(df: DataFrame, table: str) -> DataFrame:
+    """Columns named ``table.column``, so no two tables of a join share a name."""
+    return df.toDF(*[f"{table}.{n}" for n in df.columns])
+
+
+def _joined(left: DataFrame, right: DataFrame, on: Column, how: str) -> DataFrame:
+    """A join; a full outer one as matches and what either side has left.
+
+    Spark splits hot keys of inner and anti joins at run time, but not of a full outer join. All three
+    parts read the same two shuffles.
+    """
+    if how != "full":
+        return left.join(right, on, how)
+    alone = left.join(right, on, "left_anti"), right.join(left, on, "left_anti")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), alone, left.join(right, on, "inner"))
 
 
 def run_join(tables: dict[str, DataFrame], spec: JoinSpec) -> DataFrame:
@@ -89,11 +106,11 @@ def run_join(tables: dict[str, DataFrame], spec: JoinSpec) -> DataFrame:
         if test is not None:
             tests.setdefault(name, []).append(test)
 
-    out = frames[base].alias(base)
+    out = _labelled(frames[base], base)
     shown = [base]
     for step in steps:
         name, how = table_name(step["table"]), join_kind(step.get("join_type"))
-        right = frames[name].alias(name)
+        right = _labelled(frames[name], name)
         if name in hidden:
             right = reduce(lambda d, t: d.where(t), tests.pop(name, []), right)
         pairs = [
@@ -106,7 +123,7 @@ def run_join(tables: dict[str, DataFrame], spec: JoinSpec) -> DataFrame:
         if how == "cross":
             out = out.crossJoin(right)
         else:
-            out = out.join(right, reduce(lambda a, b: a & b, pairs), how)
+            out = _joined(out, right, reduce(lambda a, b: a & b, pairs), how)
         if name not in hidden and name not in shown:
             shown.append(name)
     for items in tests.values():
@@ -138,10 +155,10 @@ def join_two(
     taken = {n.lower() for n in left.columns}
     extra = [n for n in right.columns if n != right_on]
     named = {n: f"right_{n}" if n.lower() in taken else n for n in extra}
-    lhs, rhs = left.alias("l"), right.alias("r")
+    lhs, rhs = _labelled(left, "l"), _labelled(right, "r")
     condition = _field("l", left_on) == _field("r", right_on)
-    joined = lhs.crossJoin(rhs) if how == "cross" else lhs.join(rhs, condition, how)
-    picks = [_field("l", n) for n in left.columns]
+    joined = lhs.crossJoin(rhs) if how == "cross" else _joined(lhs, rhs, condition, how)
+    picks = [_field("l", n).alias(n) for n in left.columns]
     if how not in _EXISTENCE:
         picks += [_field("r", n).alias(named[n]) for n in extra]
     return joined.select(*picks)
