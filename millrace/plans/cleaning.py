@@ -157,10 +157,54 @@ _ACTIONS = {"drop": _drop, "impute": _impute, "outlier": _outlier, "scale": _sca
             "text": _text, "normalize": _text, "cast": _cast}
 
 
+# methods that look at each column alone and keep all rows, so one pass can serve several columns
+_APART = {"impute": ("mean", "median", "mode", "zero", "constant", "trimmed_mean"), "scale": None, "cast": None}
+
+
+def _settings(rule: Rule) -> dict[str, Any] | None:
+    """What two rules must share to run as one; None for rules that run alone."""
+    action = rule.get("action_type")
+    if action == "outlier":
+        apart = rule.get("outlier_method", "iqr") != "isolation_forest" and rule.get("outlier_action", "clip") != "drop_rows"
+    else:
+        allowed = _APART.get(action, ())
+        apart = allowed is None or rule.get("impute_method", "median") in allowed
+    return {k: v for k, v in rule.items() if k not in ("column", "columns")} if apart else None
+
+
+def _together(rules: Sequence[Rule]) -> list[Rule]:
+    """Neighbouring rules that differ in their columns only, as one rule over all of these."""
+    out: list[Rule] = []
+    for rule in rules:
+        names = list(rule.get("columns") or ([rule["column"]] if rule.get("column") else []))
+        shared = _settings(rule)
+        before = out[-1] if out else None
+        if before and shared is not None and _settings(before) == shared and not set(names) & set(before["columns"]):
+            out[-1] = before | {"columns": [*before["columns"], *names]}
+        else:
+            out.append({k: v for k, v in rule.items() if k != "column"} | {"columns": names})
+    return out
+
+
+def _costly(rule: Rule) -> bool:
+    """Whether a rule leaves joins or windows behind, which later statistics would compute again."""
+    action = rule.get("action_type")
+    if action == "impute":
+        return rule.get("impute_method") in ("knn", "mice", "iterative", "ffill", "bfill", "interpolate")
+    if action == "outlier":
+        return rule.get("outlier_method") == "isolation_forest"
+    return action == "encode" and rule.get("encode_method") == "ordinal" or bool(rule.get("fuzzy_dedupe"))
+
+
 def clean_rules(df: DataFrame, rules: Sequence[Rule]) -> Cleaned:
-    """Apply rules in order; a rule whose columns are all absent is skipped."""
+    """Apply rules in order; a rule whose columns are all absent is skipped.
+
+    Neighbours of one kind share their statistics pass, and what a costly rule made is checkpointed if a
+    later rule asks for statistics, so work does not grow with the square of the rules.
+    """
     log: list[dict[str, Any]] = []
-    for rule in rules:
+    steps = _together(rules)
+    for place, rule in enumerate(steps):
         names = _targets(df, rule)
         if not names:
             continue
@@ -169,6 +213,8 @@ def clean_rules(df: DataFrame, rules: Sequence[Rule]) -> Cleaned:
             raise ValueError(f"unknown cleaning action {action!r}")
         step = _ACTIONS[action](df, names, rule)
         df, log = step.df, log + step.log
+        if _costly(rule) and any(r.get("action_type") in ("impute", "outlier", "scale", "encode") for r in steps[place + 1:]):
+            df = materialize(df)
     return Cleaned(df, log or [_entry("Dataset", "No rule changed the table", "info")])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import hypothesis, learn, profile, questions, shape
 from millrace.operators.quantiles import exact_quantiles
+from millrace.plans import cleaning
 from millrace.session import DRIVER_ROWS_KEY, TASK_ROWS_KEY, shared_root
 
 
@@ -154,3 +155,27 @@ def test_clusters_need_a_shared_folder(monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_root(Session())
+
+
+def test_neighbouring_rules_share_a_pass(spark):
+    df = spark.createDataFrame([(float(i), float(i % 5) if i % 3 else None, None if i % 4 == 0 else float(i)) for i in range(60)],
+                               "k double, a double, b double")
+    rules = [{"action_type": "impute", "column": "a", "impute_method": "median"},
+             {"action_type": "impute", "column": "b", "impute_method": "median"},
+             {"action_type": "outlier", "column": "b", "outlier_method": "iqr", "outlier_action": "clip"},
+             {"action_type": "impute", "column": "a", "impute_method": "mean"}]
+    assert [r["columns"] for r in cleaning._together(rules)] == [["a", "b"], ["b"], ["a"]]
+    alone = df
+    for rule in rules:
+        alone = cleaning.clean_rules(alone, [rule]).df
+    assert sorted(cleaning.clean_rules(df, rules).df.collect()) == sorted(alone.collect())
+
+
+def test_costly_rules_are_cut_off(spark, monkeypatch):
+    df = spark.createDataFrame([(i, float(i) if i % 3 else None, float(i % 7)) for i in range(40)], "k long, a double, b double")
+    cut = []
+    monkeypatch.setattr(cleaning, "materialize", lambda d: cut.append(1) or d)
+    fill = {"action_type": "impute", "column": "a", "impute_method": "ffill", "order_by": ["k"]}
+    cleaning.clean_rules(df, [fill, {"action_type": "scale", "column": "b"}])
+    cleaning.clean_rules(df, [fill])
+    assert cut == [1]
