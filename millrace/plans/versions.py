@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import time
 from typing import Any
 
@@ -13,6 +14,13 @@ from millrace.sources.snapshots import Snapshots
 from millrace.sources.storage import SharedFolder
 
 
+RUNNING = "RUNNING"
+
+
+class StillRunning(RuntimeError):
+    """Another run holds the idempotency key."""
+
+
 class ProcedureStore:
     def __init__(self, spark: SparkSession, root: str):
         self.files = SharedFolder(spark, root)
@@ -62,16 +70,31 @@ class ProcedureStore:
         force: bool = False,
         snapshots: Snapshots | None = None,
     ) -> dict[str, Any]:
-        """Run a version and log the run; a repeated idempotency key returns the stored record."""
-        slot = f"{procedure_id}/runs/{hashlib.sha256((key or '').encode()).hexdigest()[:24]}.json"
-        if key and not dry_run and not force and self.files.exists(slot):
-            return self.files.read(slot)
-        procedure = self.load(procedure_id, tag)
-        result = run_procedure(procedure, inputs, params, dry_run, snapshots)
+        """Run a version and log the run; a repeated idempotency key returns the stored record.
+
+        The key's slot is created exclusively before the run, so of two callers with one key and the same
+        parameters one runs; the other gets the record, or an error while the first is still at it. A run
+        that fails gives its slot back. ``force`` runs again and replaces the record.
+        """
+        asked = json.dumps([key, params or {}], sort_keys=True, default=str)
+        slot = f"{procedure_id}/runs/{hashlib.sha256(asked.encode()).hexdigest()[:24]}.json"
+        once = bool(key) and not dry_run
+        if once and not force and not self.files.write(slot, {"status": RUNNING, "created_at": time.time()}, overwrite=False):
+            stored = self.files.read(slot)
+            if stored["status"] == RUNNING:
+                raise StillRunning(f"a run of {procedure_id!r} with the key {key!r} has not ended")
+            return stored
+        try:
+            procedure = self.load(procedure_id, tag)
+            result = run_procedure(procedure, inputs, params, dry_run, snapshots)
+        except Exception:
+            if once and not force:
+                self.files.delete(slot)
+            raise
         record = {"procedure_id": procedure_id, "version_tag": procedure.version, "status": "SUCCESS",
                   "dry_run": dry_run, "rows_in": result.rows_in, "rows_out": result.rows_out,
                   "snapshot_id": result.commit.snapshot_id if result.commit else None,
                   "lineage": result.lineage, "created_at": time.time()}
-        if key and not dry_run:
+        if once:
             self.files.write(slot, record)
         return record

@@ -9,7 +9,7 @@ from millrace.plans.procedure import (
 )
 from millrace.plans.quality import run_checks, score_checks
 from millrace.plans.sqltext import procedure_sql
-from millrace.plans.versions import ProcedureStore
+from millrace.plans.versions import ProcedureStore, StillRunning
 from millrace.sources.snapshots import ConflictError, Snapshots, content_id
 
 
@@ -158,6 +158,19 @@ def test_versions_and_idempotent_runs(spark, parcels, tmp_path):
     assert store.versions("parcel_fees") == ["1.0.0"] and store.load("parcel_fees").content_hash() == p.content_hash()
 
 
+def test_an_idempotency_key_runs_once(spark, parcels, tmp_path):
+    store = ProcedureStore(spark, str(tmp_path / "procs"))
+    store.publish(fee_procedure())
+    with pytest.raises(Exception):
+        store.run("parcel_fees", {"default": parcels}, {"hub": "nowhere"}, key="k")
+    with ThreadPoolExecutor(2) as pool:
+        runs = [pool.submit(store.run, "parcel_fees", {"default": parcels}, {"hub": "south"}, None, False, "k") for _ in range(2)]
+        ended = [r.exception() or r.result()["created_at"] for r in runs]
+    assert sum(isinstance(e, StillRunning) for e in ended) == 1 or ended[0] == ended[1]
+    assert store.run("parcel_fees", {"default": parcels}, {"hub": "south"}, key="k")["rows_out"] == 2
+    assert store.run("parcel_fees", {"default": parcels}, key="k")["rows_out"] == 2
+
+
 def test_stale_version_is_refused(spark, tmp_path):
     store = Snapshots(spark, str(tmp_path))
     df = spark.createDataFrame([(1.0, "a"), (2.0, "b"), (3.0, "c")], "sales double, region string")
