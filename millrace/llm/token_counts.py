@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import slices, text_of
-from millrace.session import scratch_path, session_of
+from millrace.session import materialize, scratch_path, session_of
 
 WORDS_KEPT = 400_000
 
@@ -133,7 +133,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     fresh = count_texts(once, tokenizer).withColumn("tokenizer", F.lit(version))
     fresh.select("tokenizer", "content", "n_tokens").write.mode("append").parquet(cache)
     counts = spark.read.schema(empty.schema).parquet(cache).where(F.col("tokenizer") == version)
-    sizes = counts.select("content", "n_tokens").dropDuplicates(["content"])
+    # written out first, so the join below deals out both sides itself and Spark can split a hot digest
+    sizes = materialize(counts.select("content", "n_tokens").dropDuplicates(["content"]))
     light = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content")
     return light.join(sizes, "content", "left").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
