@@ -21,6 +21,7 @@ rows with a NULL id get a fingerprint and, as component, the least id reached (N
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import slices, text_of
 from millrace.llm.graph import components
+from millrace.llm.similar import LENGTH, SIMILARITY, similar_roots, sketches
 from millrace.session import materialize
 
 BITS = 64
@@ -127,8 +129,32 @@ def simhash_groups(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFr
     return found.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
-    """The rows of ``docs`` without those of a group that are not its least id; NULL ids stay."""
-    groups = simhash_groups(docs, words, distance)
+def near_copy_groups(docs: DataFrame, words: int = 3, distance: int = 2, length: int = LENGTH,
+                     similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, component_id of every row: close fingerprints and texts with similar shingle sets are linked."""
+    found = materialize(sketches(docs, partial(fingerprint, words=words), length))
+    texts = materialize(found.groupBy("mark").agg(
+        F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    firsts = texts.groupBy("fp").agg(F.min("mark").alias("first"))
+    close = links(firsts.select("fp"), distance)
+    ends = [firsts.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_mark")) for end in "ab"]
+    known = close.join(ends[0], "a").join(ends[1], "b").select(F.col("a_mark").alias("a"), F.col("b_mark").alias("b"))
+    same = texts.join(firsts, "fp").where("mark <> first").select(F.col("mark").alias("a"), F.col("first").alias("b"))
+    roots = similar_roots(docs, texts, materialize(known.unionByName(same)), length, similarity)
+    rooted = texts.select("mark", "least").join(roots.withColumnRenamed("node", "mark"), "mark", "left")
+    rooted = rooted.withColumn("root", F.coalesce("root", "mark"))
+    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(lowest, "root").select("mark", "component_id")
+    return found.select("doc_id", "mark").join(named, "mark").select("doc_id", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, words: int = 3, distance: int = 2, length: int = LENGTH,
+                     similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` without those of a group that are not its least id; NULL ids stay.
+
+    Groups are those of close fingerprints, joined by links between texts whose sets of ``length``-word
+    shingles are similar (see ``similar``).
+    """
+    groups = near_copy_groups(docs, words, distance, length, similarity)
     gone = groups.where("component_id < doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

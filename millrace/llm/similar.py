@@ -1,0 +1,179 @@
+"""Links between texts of alike word shingles, for pairs that a 64-bit fingerprint cannot reach.
+
+At a five-word similarity of 0.8 about ten of the 64 bits of a SimHash differ, and blocks that would have to
+survive ten changed bits are too short to be keys. So candidates come from ``BANDS`` keys a text, each made of
+``ROWS`` minima of its shingles' hashes under fixed permutations: a pair at 0.8 shares a key with probability
+0.9999, whatever the number of texts. A candidate must also have fingerprints within ``FAR`` bits, and is then
+held to its exact similarity, from the whole shingle sets of both.
+
+Only different texts meet. Under a key of few texts all are compared. Under a crowded one (many near copies of
+one text) each is compared with four hubs, found by aggregates. What the links so far leave in the same
+component needs no further look; texts outside the largest component of a crowded key are compared with all
+of that key that are not in theirs. So no group is gathered in one task and no link is lost to crowding.
+
+Defined cases: texts without words have no shingle and link to nothing here; fewer words than a shingle make
+one shingle of all words; rows with a NULL id take no part; an empty table has no links.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from millrace.llm.common import slices, text_of
+from millrace.llm.graph import components
+from millrace.session import materialize
+
+LENGTH = 5
+SIMILARITY = 0.8
+BANDS = 24
+ROWS = 5
+FAR = 20
+CROWDED = 24
+
+_U64 = np.uint64
+_STEP = _U64(0x9E3779B97F4A7C15)
+_ORDERS = np.random.default_rng(42).integers(0, 1 << 64, BANDS * ROWS, dtype=_U64) | _U64(1)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> _U64(30))) * _U64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> _U64(31))
+
+
+def shingle_set(words: list[bytes], length: int = LENGTH) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    from xxhash import xxh64_intdigest
+
+    if not words:
+        return np.zeros(0, _U64)
+    each = np.fromiter(map(xxh64_intdigest, words), _U64, len(words))
+    n = max(len(words) - length + 1, 1)
+    out = np.zeros(n, _U64)
+    for k in range(min(length, len(words))):
+        out = _mixed(out * _STEP + each[k: k + n])
+    return np.unique(out)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """``BANDS`` keys of a shingle set; none for the empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.full(len(_ORDERS), ~_U64(0))
+    for at in range(0, len(hashes), 4096):
+        least = np.minimum(least, (_ORDERS[:, None] * hashes[None, at: at + 4096]).min(axis=1))
+    rows = least.reshape(BANDS, ROWS)
+    key = np.arange(1, BANDS + 1, dtype=_U64)
+    for r in range(ROWS):
+        key = _mixed(key * _STEP + rows[:, r])
+    return key.view(np.int64)
+
+
+def sketches(docs: DataFrame, fingerprint: Callable[[bytes], int], length: int = LENGTH) -> DataFrame:
+    """doc_id, mark (hash of all words), fp, number of distinct shingles n and keys of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = part.column("text").cast(pa.binary()).to_pylist()
+                marks, fps, sizes, keys = [], [], [], []
+                for text in texts:
+                    parts = text.lower().split()
+                    own = shingle_set(parts, length)
+                    marks.append(_mark(parts))
+                    fps.append(fingerprint(text))
+                    sizes.append(len(own))
+                    keys.append(band_keys(own))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(marks, pa.int64()), pa.array(np.array(fps, _U64).view(np.int64)),
+                     pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["doc_id", "mark", "fp", "n", "keys"])
+
+    rows = docs.select("doc_id", text_of().alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, mark long, fp long, n int, keys array<long>")
+
+
+def _mark(parts: list[bytes]) -> int:
+    from xxhash import xxh64_intdigest
+
+    return int(np.array([xxh64_intdigest(b" ".join(parts), 1)], _U64).view(np.int64)[0])
+
+
+def _sets(docs: DataFrame, length: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words = [t.lower().split() for t in part.column("text").cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([_mark(w) for w in words], pa.int64()),
+                     pa.array([shingle_set(w, length).view(np.int64) for w in words], pa.list_(pa.int64()))],
+                    names=["mark", "hashes"])
+
+    return docs.select(text_of().alias("text")).mapInArrow(run, "mark long, hashes array<long>")
+
+
+def _alike(docs: DataFrame, texts: DataFrame, pairs: DataFrame, length: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of marks whose shingle sets are similar enough."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
+    ids = texts.join(ends, "mark", "left_semi").select("least").distinct()
+    sets = _sets(docs.join(ids, F.col("doc_id") == F.col("least"), "left_semi"), length)
+    sets = materialize(sets.dropDuplicates(["mark"]))
+    met = pairs.join(sets.toDF("a", "own"), "a").join(sets.toDF("b", "other"), "b")
+    both = F.size(F.array_intersect("own", "other"))
+    share = F.col("both") / (F.size("own") + F.size("other") - F.col("both"))
+    return met.withColumn("both", both).where(share >= similarity - 1e-12).select("a", "b")
+
+
+def _near(one: Column, two: Column, similarity: float) -> Column:
+    """Whether two structs (mark, fp, n) can belong to similar texts."""
+    bits = F.bit_count(one["fp"].bitwiseXOR(two["fp"]))
+    return (bits <= FAR) & (F.least(one["n"], two["n"]) >= F.greatest(one["n"], two["n"]) * similarity)
+
+
+def _pairs(met: DataFrame, similarity: float) -> DataFrame:
+    """Distinct (a, b) with a < b of rows (x, y) that can be similar."""
+    x, y = F.col("x"), F.col("y")
+    kept = met.where((x["mark"] != y["mark"]) & _near(x, y, similarity))
+    return kept.select(F.least(x["mark"], y["mark"]).alias("a"), F.greatest(x["mark"], y["mark"]).alias("b")).distinct()
+
+
+def similar_roots(docs: DataFrame, texts: DataFrame, known: DataFrame, length: int = LENGTH,
+                  similarity: float = SIMILARITY) -> DataFrame:
+    """(node, root) of all marks with a link: the ``known`` ones (a, b) and those of similar texts.
+
+    ``texts`` holds one row per mark: mark, fp, n, keys, least (id of one row of ``docs`` with that text).
+    """
+    keyed = texts.where("least IS NOT NULL").select(F.struct("mark", "fp", "n").alias("x"), F.explode("keys").alias("key"))
+    turned = F.struct(F.col("x.fp").alias("fp"), F.col("x.mark").alias("mark"), F.col("x.n").alias("n"))
+    sizes = keyed.groupBy("key").agg(
+        F.count("*").alias("held"), F.min("x").alias("p"), F.max("x").alias("q"),
+        F.min(turned).alias("r"), F.max(turned).alias("s")).where("held > 1")
+    hubs = F.array(*[F.struct(*[F.col(f"{h}.{c}").alias(c) for c in ("mark", "fp", "n")]) for h in "pqrs"])
+    met = materialize(keyed.join(sizes.select("key", "held", hubs.alias("hubs")), "key"))
+    few = met.where(F.col("held") <= CROWDED).select("key", "x")
+    crowd = met.where(F.col("held") > CROWDED)
+    pairs = few.join(few.withColumnRenamed("x", "y"), "key").where("x.mark < y.mark")
+    stars = crowd.select("key", "x", F.explode("hubs").alias("y"))
+    first = materialize(_pairs(pairs.unionByName(stars), similarity))
+    links = known.unionByName(_alike(docs, texts, first, length, similarity))
+    roots = materialize(components(links))
+
+    named = crowd.select("key", "x").join(roots, F.col("x.mark") == F.col("node"), "left").select(
+        "key", "x", F.coalesce("root", "x.mark").alias("root"))
+    named = materialize(named)
+    shares = named.groupBy("key", "root").count().groupBy("key").agg(
+        F.max_by("root", F.struct("count", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
+    split = named.join(shares.select("key", "top"), "key")
+    apart = split.where("root <> top").select("key", "x", F.col("root").alias("own"))
+    others = split.select("key", F.col("x").alias("y"), "root", "top")
+    rest = apart.join(others, "key").where("own <> root AND (root = top OR x.mark < y.mark)")
+    rest = materialize(_pairs(rest, similarity).join(first, ["a", "b"], "left_anti"))
+    if rest.isEmpty():
+        return roots
+    more = _alike(docs, texts, rest, length, similarity)
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))

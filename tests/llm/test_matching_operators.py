@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import decontaminate, packing, shards, simhash, suffix_dedup, topk, toxicity
+from millrace.llm import decontaminate, packing, shards, similar, simhash, suffix_dedup, topk, toxicity
 from millrace.llm.common import read_table
 from millrace.llm.graph import components
 
@@ -200,6 +200,62 @@ def test_one_of_each_group_stays(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "9", "None"] and kept.columns == table(spark, rows).columns
 
 
+def brute_groups(rows):
+    """Least id of the group of every row: close marks, or five-word shingle sets with 0.8 in common."""
+    words = [(t or "").encode().lower().split() for _, t in rows]
+    sets = [{tuple(w[i: i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    marks = [brute_mark(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i, own in enumerate(sets):
+        for j in range(i):
+            other = sets[j]
+            near = (marks[i] ^ marks[j]).bit_count() <= 2
+            if not near and min(len(own), len(other)) >= 0.8 * max(len(own), len(other)) > 0:
+                both = len(own & other)
+                near = both >= 0.8 * (len(own) + len(other) - both)
+            if near:
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (key, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), key), key)
+    return {key: least[find(i)] for i, (key, _) in enumerate(rows)}
+
+
+@pytest.mark.parametrize("crowded", [2, 24])
+def test_similar_texts_are_grouped_in_crowds_too(spark, monkeypatch, crowded):
+    monkeypatch.setattr(similar, "CROWDED", crowded)
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    shared = rng.choices(vocabulary, k=60)  # a passage that unlike texts share
+    texts = [" ".join(rng.choices(vocabulary, k=40) + shared + rng.choices(vocabulary, k=rng.randint(0, 40))) for _ in range(40)]
+    for base in [rng.choices(vocabulary, k=n) for n in (30, 150, 150, 600)]:
+        for _ in range(45):
+            words = list(base)
+            for _ in range(rng.randint(0, len(base) // 40 + 1)):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+            texts.append(" ".join(words))
+    texts += ["", "   ", "a b", "A b", "a b c"]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    found = simhash.near_copy_groups(table(spark, [(i, t, "a") for i, t in rows]))
+    assert {r.doc_id: r.component_id for r in found.collect()} == brute_groups(rows)
+
+
+def test_similar_texts_awkward_rows(spark):
+    found = simhash.near_copy_groups(table(spark, AWKWARD)).collect()
+    assert len(found) == len(AWKWARD)
+    groups = {r.doc_id: r.component_id for r in found if r.doc_id is not None}
+    assert groups == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 7, 8: 8, 9: 9}
+    assert simhash.drop_near_copies(table(spark, AWKWARD).limit(0)).count() == 0
+
+
 # -- contamination ---------------------------------------------------------------------------------------------
 
 def brute_shingles(text):
@@ -354,11 +410,7 @@ def test_pipeline_stages(spark):
             bad = {r.doc_id for r in toxicity.score(docs, model).where("score >= 0.5").collect()}
             assert set(before) - set(after) == bad
         elif name == "simhash_near_dedup":
-            roots = brute_roots([brute_mark(r.text) for r in before.values()])
-            least = {}
-            for i, r in sorted(before.items()):
-                least.setdefault(roots[brute_mark(r.text)], i)
-            assert set(after) == set(least.values())
+            assert set(after) == set(brute_groups([(i, r.text) for i, r in before.items()]).values())
         elif name == "benchmark_decontamination":
             items = [(r.item_id, r.text) for r in read_table(spark, DATA, "benchmark").collect()]
             held = {d[0] for d in brute_contained([(i, r.text) for i, r in before.items()], items)}
