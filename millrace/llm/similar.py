@@ -3,8 +3,9 @@
 At a five-word similarity of 0.8 about ten of the 64 bits of a SimHash differ, and blocks that would have to
 survive ten changed bits are too short to be keys. So candidates come from ``BANDS`` keys a text, each made of
 ``ROWS`` minima of its shingles' hashes under fixed permutations: a pair at 0.8 shares a key with probability
-0.9999, whatever the number of texts. A candidate must also have fingerprints within ``FAR`` bits, and is then
-held to its exact similarity, from the whole shingle sets of both.
+0.9999, whatever the number of texts. A candidate whose numbers of shingles leave room for the similarity is
+held to its exact similarity, from the whole shingle sets of both. Fingerprints choose hubs but reject no pair:
+they count repeated shingles, so one much repeated line sets a text far apart from its copy.
 
 Only different texts meet. Under a key of few texts all are compared. Under a crowded one (many near copies of
 one text) each is compared with four hubs, found by aggregates. What the links so far leave in the same
@@ -32,7 +33,6 @@ LENGTH = 5
 SIMILARITY = 0.8
 BANDS = 24
 ROWS = 5
-FAR = 20
 CROWDED = 24
 
 _U64 = np.uint64
@@ -130,9 +130,8 @@ def _alike(docs: DataFrame, texts: DataFrame, pairs: DataFrame, length: int, sim
 
 
 def _near(one: Column, two: Column, similarity: float) -> Column:
-    """Whether two structs (mark, fp, n) can belong to similar texts."""
-    bits = F.bit_count(one["fp"].bitwiseXOR(two["fp"]))
-    return (bits <= FAR) & (F.least(one["n"], two["n"]) >= F.greatest(one["n"], two["n"]) * similarity)
+    """Whether two structs (mark, fp, n) can belong to similar texts: sets of too different sizes never do."""
+    return F.least(one["n"], two["n"]) >= F.greatest(one["n"], two["n"]) * similarity - 1e-9
 
 
 def _pairs(met: DataFrame, similarity: float) -> DataFrame:

@@ -248,6 +248,19 @@ def test_similar_texts_are_grouped_in_crowds_too(spark, monkeypatch, crowded):
     assert {r.doc_id: r.component_id for r in found.collect()} == brute_groups(rows)
 
 
+@pytest.mark.parametrize("crowded", [1, 24])
+def test_a_much_repeated_line_does_not_part_copies(spark, monkeypatch, crowded):
+    monkeypatch.setattr(similar, "CROWDED", crowded)
+    rng = random.Random(11)
+    rows = []
+    for k in range(12):
+        words, line = [" ".join(rng.choices([f"w{i}" for i in range(4000)], k=n)) for n in (200, 12)]
+        rows += [(2 * k, f"{words} {line}"), (2 * k + 1, f"{words} {' '.join([line] * 60)}")]
+    found = simhash.near_copy_groups(table(spark, [(i, t, "a") for i, t in rows]))
+    assert {r.doc_id: r.component_id for r in found.collect()} == brute_groups(rows) == {i: i - i % 2 for i, _ in rows}
+    assert max((brute_mark(a) ^ brute_mark(b)).bit_count() for (_, a), (_, b) in zip(rows[::2], rows[1::2])) > 20
+
+
 def test_similar_texts_awkward_rows(spark):
     found = simhash.near_copy_groups(table(spark, AWKWARD)).collect()
     assert len(found) == len(AWKWARD)
