@@ -132,6 +132,11 @@ def simhash_groups(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFr
 def near_copy_groups(docs: DataFrame, words: int = 3, distance: int = 2, length: int = LENGTH,
                      similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id of every row: close fingerprints and texts with similar shingle sets are linked."""
+    return _grouped(docs, words, distance, length, similarity).select("doc_id", "component_id")
+
+
+def _grouped(docs: DataFrame, words: int, distance: int, length: int, similarity: float) -> DataFrame:
+    """doc_id, digest of the text, root (one number for each group) and component_id of every row."""
     found = materialize(sketches(docs, partial(fingerprint, words=words), length))
     texts = materialize(found.groupBy("mark").agg(
         F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")))
@@ -144,8 +149,8 @@ def near_copy_groups(docs: DataFrame, words: int = 3, distance: int = 2, length:
     rooted = texts.select("mark", "least").join(roots.withColumnRenamed("node", "mark"), "mark", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "mark"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(lowest, "root").select("mark", "component_id")
-    return found.select("doc_id", "mark").join(named, "mark").select("doc_id", "component_id")
+    named = rooted.join(lowest, "root").select("mark", "root", "component_id")
+    return found.select("doc_id", "digest", "mark").join(named, "mark").drop("mark")
 
 
 def drop_near_copies(docs: DataFrame, words: int = 3, distance: int = 2, length: int = LENGTH,
@@ -153,8 +158,17 @@ def drop_near_copies(docs: DataFrame, words: int = 3, distance: int = 2, length:
     """The rows of ``docs`` without those of a group that are not its least id; NULL ids stay.
 
     Groups are those of close fingerprints, joined by links between texts whose sets of ``length``-word
-    shingles are similar (see ``similar``).
+    shingles are similar (see ``similar``). Where several rows have one id, each group keeps one row of its
+    least id, whatever groups the other rows of that id are in.
     """
-    groups = near_copy_groups(docs, words, distance, length, similarity)
-    gone = groups.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    groups = materialize(_grouped(docs, words, distance, length, similarity).where("doc_id IS NOT NULL"))
+    again = materialize(groups.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    gone = groups.where("component_id < doc_id").select("doc_id")
+    once = docs.join(gone.unionByName(again).distinct(), "doc_id", "left_anti").select(docs.columns)
+    if again.isEmpty():
+        return once
+    least = groups.where("component_id = doc_id").join(again, "doc_id", "left_semi")
+    chosen = least.groupBy("root", "doc_id").agg(F.min("digest").alias("own_digest")).select("doc_id", "own_digest")
+    repeated = docs.join(again, "doc_id", "left_semi").withColumn("own_digest", F.xxhash64(text_of()))
+    kept = repeated.join(chosen, ["doc_id", "own_digest"], "left_semi").dropDuplicates(["doc_id", "own_digest"])
+    return once.unionByName(kept.select(docs.columns))

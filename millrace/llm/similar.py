@@ -74,7 +74,7 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, fingerprint: Callable[[bytes], int], length: int = LENGTH) -> DataFrame:
-    """doc_id, mark (hash of all words), fp, number of distinct shingles n and keys of every row."""
+    """doc_id, digest (hash of the text), mark (of all words), fp, number of distinct shingles n and keys of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,13 +89,14 @@ def sketches(docs: DataFrame, fingerprint: Callable[[bytes], int], length: int =
                     sizes.append(len(own))
                     keys.append(band_keys(own))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(marks, pa.int64()), pa.array(np.array(fps, _U64).view(np.int64)),
-                     pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "mark", "fp", "n", "keys"])
+                    [part.column("doc_id"), part.column("digest"), pa.array(marks, pa.int64()),
+                     pa.array(np.array(fps, _U64).view(np.int64)), pa.array(sizes, pa.int32()),
+                     pa.array(keys, pa.list_(pa.int64()))],
+                    names=["doc_id", "digest", "mark", "fp", "n", "keys"])
 
-    rows = docs.select("doc_id", text_of().alias("text"))
+    rows = docs.select("doc_id", F.xxhash64(text_of()).alias("digest"), text_of().alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, mark long, fp long, n int, keys array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, digest long, mark long, fp long, n int, keys array<long>")
 
 
 def _mark(parts: list[bytes]) -> int:

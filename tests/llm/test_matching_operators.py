@@ -200,6 +200,14 @@ def test_one_of_each_group_stays(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "9", "None"] and kept.columns == table(spark, rows).columns
 
 
+def test_repeated_ids_keep_one_row_of_a_group(spark):
+    text, other, third = "a b c d e f g", "other words stand in here now", "a third text of quite unlike words"
+    rows = [(3, text, "x"), (3, text, "x"), (3, "A b  c d e f g", "x"), (4, text, "x"), (5, other, "x"), (5, text, "x"),
+            (7, other, "x"), (8, None, "x"), (8, "", "x"), (9, third, "x"), (None, text, "x"), (None, text, "x")]
+    kept = [(r.doc_id, " ".join((r.text or "").lower().split())) for r in simhash.drop_near_copies(table(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(3, text), (5, other), (8, ""), (9, third), (None, text), (None, text)], key=str)
+
+
 def brute_groups(rows):
     """Least id of the group of every row: close marks, or five-word shingle sets with 0.8 in common."""
     words = [(t or "").encode().lower().split() for _, t in rows]
