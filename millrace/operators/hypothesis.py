@@ -158,7 +158,9 @@ def independence(df: DataFrame, a: str, b: str) -> tuple[float, int, int, int, i
     rows, total = left.agg(F.count(F.lit(1)), F.sum("l")).first()
     columns = right.count()
     dof = (rows - 1) * (columns - 1)
-    if dof <= 1:
+    if rows > 0 and dof == 0:
+        return 0.0, 0, total, rows, columns  # beside a constant column every pair occurs as often as expected
+    if rows <= 2 and columns <= 2:
         return chi_square_stats({(r["a"], r["b"]): r["n"] for r in cells.collect()}) if total else (0.0, 0, 0, 0, 0)
     expected = F.col("l") * F.col("r").cast("double") / total
     # pairs that never occur add their expected number, which is what the observed pairs leave

@@ -109,6 +109,16 @@ def test_chi_square_and_imbalance_keep_cells_in_spark(spark, tiny_driver):
     assert found["minority_ratio"] == round(min(df.groupBy("b").count().toPandas()["count"]) / 500, 4)
 
 
+def test_chi_square_beside_a_constant_collects_no_cells(spark, monkeypatch):
+    df = spark.createDataFrame([("same", f"b{i % 400}") for i in range(1000)] + [(None, "b0")], "a string, b string")
+    small = spark.createDataFrame([("x", "y"), ("x", "z"), ("w", "z")], "a string, b string")
+    assert hypothesis.independence(small, "a", "b")[1:] == (1, 3, 2, 2)
+    assert hypothesis.independence(small.limit(0), "a", "b") == (0.0, 0, 0, 0, 0)
+    monkeypatch.setattr(hypothesis, "chi_square_stats", lambda counts: pytest.fail("cells on the driver"))
+    assert hypothesis.independence(df, "a", "b") == (0.0, 0, 1000, 1, 400)
+    assert hypothesis.independence(df, "b", "a") == (0.0, 0, 1000, 400, 1)
+
+
 def test_three_classes_are_boosted(spark):
     rows = [(i, float(i % 3) + (i % 5) / 10, "abc"[i % 3]) for i in range(240)]
     df = spark.createDataFrame(rows, "id long, x double, y string")
