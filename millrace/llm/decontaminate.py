@@ -86,6 +86,16 @@ def contained_items(docs: DataFrame, items: DataFrame, length: int = WORDS, thre
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, length: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that hold no item; rows with a NULL id stay."""
-    gone = contained_items(docs, items, length, threshold).select("doc_id").distinct()
+    """The rows of ``docs`` that hold no item; rows with a NULL id stay.
+
+    Items of fewer words than ``length`` are searched by shingles of their own number of words on both sides, so
+    they are found inside longer documents too.
+    """
+    found = contained_items(docs, items, length, threshold).select("doc_id")
+    sized = items.select("item_id", "text", F.size(words_of(text_of())).alias("own_words"))
+    short = sized.where(F.col("own_words").between(1, length - 1))
+    for row in short.select("own_words").distinct().collect():  # at most length - 1 rows
+        n = row["own_words"]
+        found = found.unionByName(contained_items(docs, short.where(F.col("own_words") == n), n, threshold).select("doc_id"))
+    gone = found.distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

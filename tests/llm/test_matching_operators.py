@@ -317,6 +317,15 @@ def test_contained_items_equal_brute_force(spark, limit):
     assert decontaminate.contained_items(df, known.limit(0)).count() == 0
 
 
+def test_short_items_are_found_inside_long_documents(spark):
+    long = " ".join(f"w{i}" for i in range(300))
+    items = spark.createDataFrame([(1, "Zeta!"), (2, "one two"), (3, "p q r s"), (4, ""), (5, None)], "item_id long, text string")
+    rows = [(1, f"{long} zeta {long}"), (2, f"{long}, one two. {long}"), (3, f"{long} two one {long}"), (4, f"P, q r s {long}"),
+            (5, f"p q r {long} s"), (6, "one"), (7, "p q r"), (8, "zetas"), (9, None), (10, "p q r s"), (None, "zeta")]
+    kept = decontaminate.drop_contaminated(table(spark, [(i, t, "a") for i, t in rows]), items)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["3", "5", "6", "7", "8", "9", "None"])
+
+
 # -- shards ----------------------------------------------------------------------------------------------------
 
 def brute_capacity(sizes, shards_wanted):
