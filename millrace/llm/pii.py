@@ -42,7 +42,7 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NATIONAL = re.compile(r"(?<![\w+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![\w-])")
 SPELLED = re.compile(r"(?<![\w.])[A-Za-z0-9._-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:[\[(]dot[\])]|\.) ?[A-Za-z]{2,24}){1,3}\b")
-SECRET = re.compile(r"(?<!\w)(?:[A-Za-z_]{0,20}(?:token|key|secret|password))\x20?[=:]\x20?[\"']?([A-Za-z0-9_+/=-]{16,256})", re.I)
+SECRET = re.compile(r"(?<!\w)(?:[A-Za-z_]{0,20}(?:token|key|secret|password))\x20?[=:]\x20?[\"']?([A-Za-z0-9_+/=-]{16,})", re.I)
 
 # fixed values: endings, issuer digits, calling codes and words that speak for a kind
 ENDINGS = {"com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "info", "eu"}
@@ -118,17 +118,19 @@ def written(spans: list[Span]) -> str:
 
 
 def extra_candidates(text: str, base: list[Span]) -> list[Span]:
-    """Spans of the looser patterns that touch no base span and not one another."""
+    """Spans of the looser patterns that touch no base span and not one another; a credential may hold base spans."""
     found = [Span("phone", *m.span()) for m in NATIONAL.finditer(text)]
     if "at]" in text or "at)" in text:
         found += [Span("email", *m.span()) for m in SPELLED.finditer(text)]
     found += [Span("card", *m.span()) for m in CARD.finditer(text)
               if m.end() - m.start() >= 13 and 13 <= len(_digits(m[0])) <= 19]
     found += [Span("secret", *m.span(1)) for m in SECRET.finditer(text)]
-    free, taken = [], [(s.start, s.end) for s in base]
+    free, taken = [], []
     for span in sorted(found, key=_order):
-        if all(span.end <= a or span.start >= b for a, b in taken):
-            taken.append((span.start, span.end))
+        # what a base span hides only in part stays a candidate as a whole if it is a credential
+        held = [s for s in base if span.kind != "secret" or (s.start <= span.start and span.end <= s.end)]
+        if all(span.end <= s.start or span.start >= s.end for s in [*held, *taken]):
+            taken.append(span)
             free.append(span)
     return free
 

@@ -147,6 +147,17 @@ def test_pii_query_rows(spark):
     assert pii.find_spans(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("inner", ["", "4111111111111111x", "/+49301234567/"])
+def test_long_credentials_are_masked_whole(inner):
+    key = "aB3dE5fG7h" * 30 + inner + "zY9xW8vU7t" * 10
+    text = f"api_token={key} and more"
+    assert pii.extra_candidates(text, pii.base_spans(text)) == [pii.Span("secret", 10, 10 + len(key))]
+    model = pii.Model({("bias",): 1.0}, {})
+    assert pii.masked(text, pii.all_spans(text, model)[1]) == "api_token=[SECRET] and more"
+    long = "key=" + "a1" * 100_000
+    assert pii.extra_candidates(long, []) == [pii.Span("secret", 4, len(long))]
+
+
 def test_em_prefers_labelers_that_agree():
     counts = {("secret", 1, 1, 1, 3): 80, ("secret", 1, 1, 0, 3): 20, ("secret", -1, -1, 0, 3): 100, ("secret", -1, -1, -1, 3): 50}
     model = pii.train(counts)
