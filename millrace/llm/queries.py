@@ -11,6 +11,7 @@ import corpus_pipeline
 
 from millrace.llm import (
     decontaminate,
+    html_extract,
     languages,
     packing,
     pii,
@@ -139,6 +140,12 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read_table(spark, folder, "documents"))
 
 
+@register
+def op13_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read_table(spark, folder, "pages")
+    return html_extract.extract(pages, html_extract.fit(pages)).select("page_id", "url", "text", "n_chars")
+
+
 @register
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
