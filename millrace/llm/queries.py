@@ -13,6 +13,7 @@ from millrace.llm import (
     decontaminate,
     html_extract,
     languages,
+    lexical,
     packing,
     pii,
     shards,
@@ -140,6 +141,36 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read_table(spark, folder, "documents"))
 
 
+@register
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.ranked_search(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
+def _duckdb_terms(table: str, key: str) -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    plain = f"translate(coalesce(text, ''), '{upper}', '{upper.lower()}')"
+    other = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+    return f"SELECT {key}, unnest(regexp_extract_all({plain}, {other})) AS term FROM {table}"
+
+
+ORACLES["op11_lexical_search"] = f"""
+    WITH dt AS ({_duckdb_terms("documents", "doc_id")}),
+         it AS ({_duckdb_terms("benchmark", "item_id")}),
+         q AS (SELECT item_id, term, count(*) AS asked FROM it GROUP BY item_id, term),
+         n AS (SELECT doc_id, count(*) AS n FROM dt GROUP BY doc_id),
+         s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM n),
+         t AS (SELECT doc_id, term, count(*) AS tf FROM dt WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
+         w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+               FROM (SELECT term, count(*) AS df FROM t GROUP BY term), s),
+         p AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total))) AS part
+               FROM t JOIN n USING (doc_id) JOIN w USING (term), s),
+         r AS (SELECT item_id, doc_id, CAST(sum(asked * part) AS BIGINT) AS score FROM q JOIN p USING (term) GROUP BY item_id, doc_id)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+        SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0
+    ) WHERE rank <= 20
+"""
+
+
 @register
 def op13_html_text(spark: SparkSession, folder: str) -> DataFrame:
     pages = read_table(spark, folder, "pages")
