@@ -22,6 +22,7 @@ from millrace.llm import (
     token_counts,
     topk,
     toxicity,
+    whitening,
 )
 from millrace.llm.common import read_table
 
@@ -171,6 +172,11 @@ ORACLES["op11_lexical_search"] = f"""
 """
 
 
+@register
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, folder, "embeddings"))
+
+
 @register
 def op13_html_text(spark: SparkSession, folder: str) -> DataFrame:
     pages = read_table(spark, folder, "pages")
