@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -125,13 +127,23 @@ def extra_candidates(text: str, base: list[Span]) -> list[Span]:
     found += [Span("card", *m.span()) for m in CARD.finditer(text)
               if m.end() - m.start() >= 13 and 13 <= len(_digits(m[0])) <= 19]
     found += [Span("secret", *m.span(1)) for m in SECRET.finditer(text)]
-    free, taken = [], []
+    # one sweep by start: of earlier spans only the furthest end matters
+    starts = [s.start for s in base]
+    furthest = list(accumulate((s.end for s in base), max))
+    free, end = [], 0
     for span in sorted(found, key=_order):
+        if span.start < end:
+            continue
         # what a base span hides only in part stays a candidate as a whole if it is a credential
-        held = [s for s in base if span.kind != "secret" or (s.start <= span.start and span.end <= s.end)]
-        if all(span.end <= s.start or span.start >= s.end for s in [*held, *taken]):
-            taken.append(span)
+        if span.kind == "secret":
+            before = bisect_right(starts, span.start)
+            hidden = before > 0 and furthest[before - 1] >= span.end
+        else:
+            before = bisect_left(starts, span.end)
+            hidden = before > 0 and furthest[before - 1] > span.start
+        if not hidden:
             free.append(span)
+            end = span.end
     return free
 
 
