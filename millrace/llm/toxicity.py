@@ -7,8 +7,10 @@ words whose every state exceeds the limit leave. Each hit is weighed by its log-
 spelling occurs in clean rows, and by the words around it: quotation marks and reporting words speak
 for a quotation, words of address for abuse. A logistic model over a few document features scores.
 
-The labelled rows used for the fit are bounded by ``rows`` (those with the smallest hashes of the id);
-scoring reads every row. Labels of rows held out by ``training`` are never read.
+The labelled rows used for the fit are bounded by ``rows`` (those with the smallest hashes of the id), which
+also bounds the inexact spellings that the model keeps, all of those in these rows. The lexicon holds the
+``MOST_TERMS`` terms with the most toxic rows of their own; a rarer term counts only where a listed word or
+beginning also matches it. Scoring reads every row. Labels of rows held out by ``training`` are never read.
 
 Defined cases: NULL counts as the empty text, which scores like any text without hits; without labelled
 rows of both kinds every score is 0; several labels of one id count as toxic if one is; equal rows get equal scores.
@@ -31,7 +33,6 @@ from millrace.session import materialize
 
 FIT_ROWS = 20_000
 MOST_TERMS = 512
-MOST_SPELLINGS = 4_096
 PREFIXES = (4, 5, 6, 7)
 FUZZY_FROM = 5
 LEAST_PRECISION = 0.8
@@ -145,7 +146,7 @@ def _near(words: Words, at: int, low: int, high: int) -> tuple[bool, bool]:
     own = words.raw[words.places[at]]
     texts = [words.raw[words.places[i]] for i in around]
     here = at - around[0]
-    opened = any(t[0] in QUOTES for t in texts[: here + 1])
+    opened = any(t[:1] in QUOTES for t in texts[: here + 1])
     closed = any(t.rstrip(".,;:!?")[-1:] in QUOTES for t in texts[here:])
     spoken = any(words.spellings[words.places[i]] in REPORTING for i in around)
     addressed = any(words.spellings[words.places[i]] in ADDRESS for i in around) or own.endswith("!")
@@ -232,11 +233,12 @@ def _without_echoes(terms: list) -> list:
     return [t for t in terms if not t.prefix or most.get(t.term, 0) < 0.9 * t.toxic]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
+def _logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray) -> list[float]:
     w, ridge = np.zeros(x.shape[1]), np.diag([1e-6, *[0.01] * (x.shape[1] - 1)])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve(
+            (x * (times * (p * (1 - p) + 1e-9))[:, None]).T @ x + ridge, x.T @ (times * (y - p)) - ridge @ w)
         w = w + np.clip(step, -5, 5)
     return w.tolist()
 
@@ -269,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
                     names=["spelling", "toxic"])
 
     forms = sample.mapInArrow(spell, "spelling string, toxic long").groupBy("spelling").agg(
-        F.sum("toxic").alias("toxic"), F.count("*").alias("n")).orderBy(F.desc("n"), "spelling").limit(MOST_SPELLINGS).collect()
+        F.sum("toxic").alias("toxic"), F.count("*").alias("n")).collect()
     model = model._replace(spellings={
         f.spelling: _odds(f.toxic, f.n - f.toxic, all_toxic, n - all_toxic) for f in forms})
 
@@ -288,7 +290,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     y = rows_seen.column("toxic").to_numpy().astype(float)
     x = np.column_stack([rows_seen.column(f"f{i}").to_numpy() for i in range(FEATURES)])
     times = rows_seen.column("count").to_numpy()
-    return model._replace(coefficients=_logistic(np.repeat(x, times, axis=0), np.repeat(y, times)))
+    return model._replace(coefficients=_logistic(x, y, times.astype(float)))
 
 
 def _scores(texts: pa.Array, model: Model, trie: Trie) -> np.ndarray:

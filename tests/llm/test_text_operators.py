@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 import numpy as np
 import pytest
@@ -158,6 +159,39 @@ def test_long_credentials_are_masked_whole(inner):
     assert pii.extra_candidates(long, []) == [pii.Span("secret", 4, len(long))]
 
 
+def plain_candidates(text, base):
+    """The candidates by comparing every one with all base and taken spans."""
+    found = [pii.Span("phone", *m.span()) for m in pii.NATIONAL.finditer(text)]
+    found += [pii.Span("email", *m.span()) for m in pii.SPELLED.finditer(text)]
+    found += [pii.Span("card", *m.span()) for m in pii.CARD.finditer(text)
+              if m.end() - m.start() >= 13 and 13 <= len(re.sub("[^0-9]", "", m[0])) <= 19]
+    found += [pii.Span("secret", *m.span(1)) for m in pii.SECRET.finditer(text)]
+    free = []
+    for span in sorted(found, key=pii._order):
+        held = [s for s in base if span.kind != "secret" or (s.start <= span.start and span.end <= s.end)]
+        if all(span.end <= s.start or span.start >= s.end for s in [*held, *free]):
+            free.append(span)
+    return free
+
+
+def test_candidates_equal_the_plain_comparison():
+    pick = random.Random(5)
+    pieces = ["555-123-4567", "+1 555 123 4567", "4111111111111111", "4111 1111 1111 1112", "token=abcdEFGH12345678", "a@b.org",
+              "me [at] site.com", "10.0.0.1", " ", " ", "x", "key: 4111111111111111zz", ",", "=", "1234567890123"]
+    for _ in range(400):
+        text = "".join(pick.choices(pieces, k=pick.randint(1, 14)))
+        base = pii.base_spans(text)
+        assert pii.extra_candidates(text, base) == plain_candidates(text, base), text
+
+
+def test_many_spans_in_one_text_take_linear_time():
+    text = "555-123-4567 a@b.org, " * 8_000
+    started = time.perf_counter()
+    base = pii.base_spans(text)
+    assert len(base) == 8_000 and len(pii.extra_candidates(text, base)) == 8_000
+    assert time.perf_counter() - started < 1.5
+
+
 def test_em_prefers_labelers_that_agree():
     counts = {("secret", 1, 1, 1, 3): 80, ("secret", 1, 1, 0, 3): 20, ("secret", -1, -1, 0, 3): 100, ("secret", -1, -1, -1, 3): 50}
     model = pii.train(counts)
@@ -287,3 +321,20 @@ def test_toxicity_awkward_rows(spark):
     empty = toxicity.fit(docs, labels.limit(0))
     assert {r.score for r in toxicity.score(docs, empty).collect()} == {0.0}
     assert toxicity.score(docs.limit(0), empty).count() == 0
+
+
+def test_toxicity_white_space_before_a_hit(spark):
+    docs, labels = labelled(spark)
+    model = toxicity.fit(docs, labels.where(toxicity.training()))
+    texts = [f"{blank}{word} now and then" for blank in (" ", "  ", "\t", "\n\n", "\u00a0") for word in ("odious", "you vilified")]
+    probe = table(spark, [(i, t, "a") for i, t in enumerate(texts)])
+    got = [r.score for r in toxicity.score(probe, model).orderBy("doc_id").collect()]
+    plain = table(spark, [(i, t.strip(), "a") for i, t in enumerate(texts)])
+    assert got == [r.score for r in toxicity.score(plain, model).orderBy("doc_id").collect()]
+
+
+def test_toxicity_repeated_ids_weigh_as_rows(spark):
+    x = np.array([[1.0, 0.0], [1.0, 2.0], [1.0, 1.0]])
+    y, times = np.array([0.0, 1.0, 1.0]), np.array([5.0, 3.0, 1.0])
+    again = np.repeat(np.arange(3), times.astype(int))
+    assert np.allclose(toxicity._logistic(x, y, times), toxicity._logistic(x[again], y[again], np.ones(9)))
