@@ -21,7 +21,6 @@ rows with a NULL id get a fingerprint and, as component, the least id reached (N
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -31,7 +30,6 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import slices, text_of
 from millrace.llm.graph import components
-from millrace.llm.similar import LENGTH, SIMILARITY, similar_roots, sketches
 from millrace.session import materialize
 
 BITS = 64
@@ -62,18 +60,21 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every row."""
+def fingerprints(docs: DataFrame, words: int = 3, digest: bool = False) -> DataFrame:
+    """doc_id and fp (the 64 bits as a signed long) of every row, with a hash of the whole text if asked for."""
+    more = ["digest"] if digest else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 marks = [fingerprint(t, words) for t in part.column("text").cast(pa.binary()).to_pylist()]
                 signed = pa.array(np.array(marks, np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), signed], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), signed, *map(part.column, more)], names=["doc_id", "fp", *more])
 
-    rows = docs.select("doc_id", text_of().alias("text"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    rows = docs.select("doc_id", text_of().alias("text"), *[F.xxhash64(text_of()).alias(m) for m in more])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, fp long" + "".join(f", {m} long" for m in more))
 
 
 def _masks(distance: int) -> list[int]:
@@ -120,55 +121,37 @@ def links(marks: DataFrame, distance: int = 2) -> DataFrame:
 def simhash_groups(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
     """doc_id, fp, component_id for every row of ``docs`` (doc_id, text)."""
     found = materialize(fingerprints(docs, words))
+    return found.join(_named(found, distance), "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def _named(found: DataFrame, distance: int) -> DataFrame:
+    """fp, root (one mark for each group) and component_id of every distinct mark."""
     marks = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(marks.select("fp"), distance)).withColumnRenamed("node", "fp")
     # of each mark that is alone the root is itself; only marks move here, one row for each
     rooted = marks.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fp", "component_id")
-    return found.join(named, "fp", "left").select("doc_id", "fp", "component_id")
-
-
-def near_copy_groups(docs: DataFrame, words: int = 3, distance: int = 2, length: int = LENGTH,
-                     similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, component_id of every row: close fingerprints and texts with similar shingle sets are linked."""
-    return _grouped(docs, words, distance, length, similarity).select("doc_id", "component_id")
-
-
-def _grouped(docs: DataFrame, words: int, distance: int, length: int, similarity: float) -> DataFrame:
-    """doc_id, digest of the text, root (one number for each group) and component_id of every row."""
-    found = materialize(sketches(docs, partial(fingerprint, words=words), length))
-    texts = materialize(found.groupBy("mark").agg(
-        F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    firsts = texts.groupBy("fp").agg(F.min("mark").alias("first"))
-    close = links(firsts.select("fp"), distance)
-    ends = [firsts.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_mark")) for end in "ab"]
-    known = close.join(ends[0], "a").join(ends[1], "b").select(F.col("a_mark").alias("a"), F.col("b_mark").alias("b"))
-    same = texts.join(firsts, "fp").where("mark <> first").select(F.col("mark").alias("a"), F.col("first").alias("b"))
-    roots = similar_roots(docs, texts, materialize(known.unionByName(same)), length, similarity)
-    rooted = texts.select("mark", "least").join(roots.withColumnRenamed("node", "mark"), "mark", "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "mark"))
-    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(lowest, "root").select("mark", "root", "component_id")
-    return found.select("doc_id", "digest", "mark").join(named, "mark").drop("mark")
+    return rooted.join(lowest, "root").select("fp", "root", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, words: int = 3, distance: int = 2, length: int = LENGTH,
-                     similarity: float = SIMILARITY) -> DataFrame:
+def drop_near_copies(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
     """The rows of ``docs`` without those of a group that are not its least id; NULL ids stay.
 
-    Groups are those of close fingerprints, joined by links between texts whose sets of ``length``-word
-    shingles are similar (see ``similar``). Where several rows have one id, each group keeps one row of its
+    Groups are those of ``simhash_groups``. Where several rows have one id, each group keeps one row of its
     least id, whatever groups the other rows of that id are in.
     """
-    groups = materialize(_grouped(docs, words, distance, length, similarity).where("doc_id IS NOT NULL"))
+    found = materialize(fingerprints(docs, words, digest=True).where("doc_id IS NOT NULL"))
+    groups = materialize(found.join(_named(found, distance), "fp"))
     again = materialize(groups.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     gone = groups.where("component_id < doc_id").select("doc_id")
     once = docs.join(gone.unionByName(again).distinct(), "doc_id", "left_anti").select(docs.columns)
     if again.isEmpty():
         return once
+    own = "digest"
+    while own in docs.columns:
+        own += "_"
     least = groups.where("component_id = doc_id").join(again, "doc_id", "left_semi")
-    chosen = least.groupBy("root", "doc_id").agg(F.min("digest").alias("own_digest")).select("doc_id", "own_digest")
-    repeated = docs.join(again, "doc_id", "left_semi").withColumn("own_digest", F.xxhash64(text_of()))
-    kept = repeated.join(chosen, ["doc_id", "own_digest"], "left_semi").dropDuplicates(["doc_id", "own_digest"])
+    chosen = least.groupBy("root", "doc_id").agg(F.min("digest").alias(own)).select("doc_id", own)
+    repeated = docs.join(again, "doc_id", "left_semi").withColumn(own, F.xxhash64(text_of()))
+    kept = repeated.join(chosen, ["doc_id", own], "left_semi").dropDuplicates(["doc_id", own])
     return once.unionByName(kept.select(docs.columns))

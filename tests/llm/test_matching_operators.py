@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import decontaminate, packing, shards, similar, simhash, suffix_dedup, topk, toxicity
+from millrace.llm import decontaminate, packing, shards, simhash, suffix_dedup, topk, toxicity
 from millrace.llm.common import read_table
 from millrace.llm.graph import components
 
@@ -209,11 +209,10 @@ def test_repeated_ids_keep_one_row_of_a_group(spark):
 
 
 def brute_groups(rows):
-    """Least id of the group of every row: close marks, or five-word shingle sets with 0.8 in common."""
-    words = [(t or "").encode().lower().split() for _, t in rows]
-    sets = [{tuple(w[i: i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
-    marks = [brute_mark(t) for _, t in rows]
-    parent = list(range(len(rows)))
+    """Least id of the group of every row: marks with two differing bits or less."""
+    marks = {key: brute_mark(text) for key, text in rows}
+    distinct = sorted(set(marks.values()))
+    parent = {m: m for m in distinct}
 
     def find(x):
         while parent[x] != x:
@@ -221,59 +220,35 @@ def brute_groups(rows):
             x = parent[x]
         return x
 
-    for i, own in enumerate(sets):
-        for j in range(i):
-            other = sets[j]
-            near = (marks[i] ^ marks[j]).bit_count() <= 2
-            if not near and min(len(own), len(other)) >= 0.8 * max(len(own), len(other)) > 0:
-                both = len(own & other)
-                near = both >= 0.8 * (len(own) + len(other) - both)
-            if near:
-                parent[find(i)] = find(j)
-    least = {}
-    for i, (key, _) in enumerate(rows):
-        least[find(i)] = min(least.get(find(i), key), key)
-    return {key: least[find(i)] for i, (key, _) in enumerate(rows)}
+    for i, m in enumerate(distinct):
+        for other in distinct[:i]:
+            if (m ^ other).bit_count() <= 2:
+                parent[find(m)] = find(other)
+    least = defaultdict(list)
+    for key, mark in marks.items():
+        least[find(mark)].append(key)
+    return {key: min(least[find(mark)]) for key, mark in marks.items()}
 
 
-@pytest.mark.parametrize("crowded", [2, 24])
-def test_similar_texts_are_grouped_in_crowds_too(spark, monkeypatch, crowded):
-    monkeypatch.setattr(similar, "CROWDED", crowded)
+def test_a_crowd_of_unlike_texts_keeps_one_of_each_group(spark):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(4000)]
     shared = rng.choices(vocabulary, k=60)  # a passage that unlike texts share
-    texts = [" ".join(rng.choices(vocabulary, k=40) + shared + rng.choices(vocabulary, k=rng.randint(0, 40))) for _ in range(40)]
-    for base in [rng.choices(vocabulary, k=n) for n in (30, 150, 150, 600)]:
-        for _ in range(45):
-            words = list(base)
-            for _ in range(rng.randint(0, len(base) // 40 + 1)):
-                words[rng.randrange(len(words))] = rng.choice(vocabulary)
-            texts.append(" ".join(words))
-    texts += ["", "   ", "a b", "A b", "a b c"]
-    rows = list(enumerate(texts))
-    rng.shuffle(rows)
-    found = simhash.near_copy_groups(table(spark, [(i, t, "a") for i, t in rows]))
-    assert {r.doc_id: r.component_id for r in found.collect()} == brute_groups(rows)
-
-
-@pytest.mark.parametrize("crowded", [1, 24])
-def test_a_much_repeated_line_does_not_part_copies(spark, monkeypatch, crowded):
-    monkeypatch.setattr(similar, "CROWDED", crowded)
-    rng = random.Random(11)
-    rows = []
-    for k in range(12):
-        words, line = [" ".join(rng.choices([f"w{i}" for i in range(4000)], k=n)) for n in (200, 12)]
-        rows += [(2 * k, f"{words} {line}"), (2 * k + 1, f"{words} {' '.join([line] * 60)}")]
-    found = simhash.near_copy_groups(table(spark, [(i, t, "a") for i, t in rows]))
-    assert {r.doc_id: r.component_id for r in found.collect()} == brute_groups(rows) == {i: i - i % 2 for i, _ in rows}
-    assert max((brute_mark(a) ^ brute_mark(b)).bit_count() for (_, a), (_, b) in zip(rows[::2], rows[1::2])) > 20
-
-
-def test_similar_texts_awkward_rows(spark):
-    found = simhash.near_copy_groups(table(spark, AWKWARD)).collect()
-    assert len(found) == len(AWKWARD)
-    groups = {r.doc_id: r.component_id for r in found if r.doc_id is not None}
-    assert groups == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 7, 8: 8, 9: 9}
+    texts = [" ".join(rng.choices(vocabulary, k=4) + shared + rng.choices(vocabulary, k=rng.randint(0, 4))) for _ in range(150)]
+    texts += [" ".join(shared)] * 40 + ["", None, "  "]
+    rng.shuffle(texts)
+    rows = [(i, t, "a") for i, t in enumerate(texts)]
+    groups = {r.doc_id: r.component_id for r in simhash.simhash_groups(table(spark, rows)).collect()}
+    kept = {r.doc_id for r in simhash.drop_near_copies(table(spark, rows)).collect()}
+    assert groups == brute_groups([(i, t) for i, t, _ in rows]) and kept == set(groups.values())
+
+
+def test_near_copies_awkward_rows(spark):
+    rows = table(spark, [*AWKWARD, (3, "three words here and more of them", "a")]).withColumn("digest_", F.lit(5)).withColumn(
+        "own_digest", F.lit("z"))
+    kept = simhash.drop_near_copies(rows).collect()
+    assert sorted(str(r.doc_id) for r in kept) == sorted(["1", "3", "4", "5", "7", "8", "9", "None", "None"])
+    assert {(r.digest, r.digest_, r.own_digest) for r in kept} == {("x", 5, "z")}
     assert simhash.drop_near_copies(table(spark, AWKWARD).limit(0)).count() == 0
 
 
