@@ -252,8 +252,11 @@ def fit(pages: DataFrame) -> Field:
     """A field trained on composed pages and on those of a bounded sample of ``pages`` that label themselves."""
     data = [s for html in labelled_pages(COMPOSED_PAGES)
             for page in [blocks(html)] for s in sequences(page, [int(b.marked) for b in page])]
-    landmarks = "html IS NOT NULL AND octet_length(html) <= {} AND (html ILIKE '%<article%' OR html ILIKE '%<main%')"
-    sample = pages.where(landmarks.format(FIT_BYTES)).select("html").orderBy(F.xxhash64("html"), "html").limit(FIT_PAGES)
+    landmarks = "octet_length(html) <= {} AND (html ILIKE '%<article%' OR html ILIKE '%<main%')"
+    able = pages.where(landmarks.format(FIT_BYTES)).select("html", F.xxhash64("html").alias("mark"))
+    # only marks are ranked, so no task sends pages that are not chosen
+    last = able.select("mark").distinct().orderBy("mark").limit(FIT_PAGES).agg(F.max("mark")).first()[0]
+    sample = able.where(F.col("mark") <= F.lit(last)).dropDuplicates(["mark"]).orderBy("mark")
     for row in sample.collect():
         page = blocks(row.html)
         labels = landmark_labels(page)
