@@ -11,7 +11,7 @@ first of these terms that it holds, so in the list of a term only the weights of
 ones count towards a bound, and no document is scored twice. A list, or a block of it, is skipped only when the
 inner product of item and summary is below the k-th best score so far; documents of all other blocks are
 scored in full. All weights are whole numbers, so bounds are exact upper bounds. The first k-th best scores
-come from a search among ``SAMPLE`` documents; any documents' scores are valid for that.
+come from a search among about ``SAMPLE`` documents, drawn by a hash of the id; any documents' scores are valid for that.
 
 Two passes read the texts' vectors: one counts (documents, terms, documents of each asked term), one searches.
 The driver holds the items of one batch (at most ``ITEMS`` items or ``ITEM_BYTES`` bytes, a longer item alone) and
@@ -278,7 +278,8 @@ def _batch(docs: DataFrame, rows: list, k: int) -> DataFrame | None:
         by_place = np.argsort(places)
         items.append((places[by_place], np.array(list(count.values()), np.int64)[by_place]))
     shared = (place, weight, (documents, total), k)
-    sample = vectors.where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    share = min(1 << 20, -(-(SAMPLE << 20) // documents))  # about SAMPLE documents, chosen where they are
+    sample = vectors.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
     floors = [1] * len(items)
     for row in _ranked(_search(sample, items, floors, *shared), k).where(F.col("rank") == k).collect():
         floors[row.item] = row.score
