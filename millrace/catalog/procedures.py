@@ -11,7 +11,7 @@ from millrace.operators.filters import sql_predicate
 from millrace.operators.impute import fill_constants, fill_value
 from millrace.plans import quality
 from millrace.plans.procedure import (
-    Procedure, ProcedureError, bind_parameters, build, dropped_rows, execution_order, lineage_table, run_golden_tests,
+    Procedure, ProcedureError, bind_parameters, build, build_checked, dropped_rows, execution_order, lineage_table, run_golden_tests,
     run_procedure,
 )
 from millrace.plans.sqltext import procedure_sql
@@ -193,10 +193,19 @@ def proc_version(t):
     return t.spark.createDataFrame(rows, "version string, n long")
 
 
-@query("golden_tests", "SELECT 'segments' AS name, COUNT(*) > 0 AS passed FROM orders")
+@query("golden_tests", f"""
+    SELECT 'segments' AS name, COUNT(*) = 5 AND SUM(n) BETWEEN 1 AND (SELECT COUNT(*) FROM orders) AS passed, COUNT(*) AS n_rows,
+           SUM(n)::DOUBLE AS orders, ROUND(MAX(tax), 2) AS top_tax FROM ({_SUMS})""")
 def golden_tests(t):
-    results = run_golden_tests(reconcile(), _inputs(t))
-    return t.spark.createDataFrame([(r["name"], r["passed"]) for r in results], "name string, passed boolean")
+    given = _inputs(t)
+    case = {"name": "segments", "params": {"floor": "100000"}, "expected_columns": ["c_mktsegment", "tax", "n"], "expected_row_count": 5,
+            "expected_aggregates": {"sum(n)": t.orders.where("o_totalprice >= 100000 AND o_orderstatus IN ('O', 'F')").count(),
+                                    "max(tax)": build(reconcile(), given).agg(F.max("tax")).first()[0]}}
+    plan = reconcile()
+    plan.golden_tests = [case]
+    rows = [(r["name"], r["passed"], r["rows"], r["aggregates"]["sum(n)"], round(r["aggregates"]["max(tax)"], 2))
+            for r in run_golden_tests(plan, given)]
+    return t.spark.createDataFrame(rows, "name string, passed boolean, n_rows long, orders double, top_tax double")
 
 
 # ---- quality
@@ -251,12 +260,10 @@ def dq_gate(t):
     for severity in ("error", "warn"):
         checks = [{"type": "not_null", "column": "qty", "severity": severity}]
         p = Procedure("g", [_node("s", "source"), _node("g", "assertion_gate", ["s"], assertions=checks)])
-        found = quality.run_checks(gappy(t), checks)
         try:
-            build(p, {"default": gappy(t)})
-            rows.append((severity, False, found[0].failing))
-        except ProcedureError:
-            rows.append((severity, True, found[0].failing))
+            rows.append((severity, False, build_checked(p, {"default": gappy(t)})[1][0].failing))
+        except ProcedureError as stopped:
+            rows.append((severity, True, stopped.details[0].failing))
     return t.spark.createDataFrame(rows, "severity string, stopped boolean, failing long")
 
 
