@@ -437,3 +437,20 @@ def impute_mice(t):
         "l_extendedprice", "CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE l_quantity * 3 + l_discount END AS mix")
     return clean_rules(data, [{"action_type": "impute", "columns": ["qty", "l_extendedprice", "mix"],
                                "impute_method": "mice", "mice_max_iter": 5}]).df
+
+
+_ONE = "(SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_quantity END AS qty, l_extendedprice AS price FROM lineitem)"
+
+
+@query("impute_mice_one", f"""
+    WITH s AS (SELECT AVG(qty) mq, stddev_samp(qty) sq, AVG(price) mp, stddev_samp(price) sp FROM {_ONE}),
+    u AS (SELECT *, (qty - mq) / sq AS y, (price - mp) / sp AS x FROM {_ONE}, s),
+    g AS (SELECT COUNT(*)::DOUBLE n, SUM(x) b, SUM(x * x) c, SUM(y) d, SUM(x * y) e FROM u WHERE qty IS NOT NULL),
+    r AS (SELECT *, n + 1e-6 * (n + c) / 2 AS a1, c + 1e-6 * (n + c) / 2 AS c1 FROM g),
+    w AS (SELECT (c1 * d - b * e) / (a1 * c1 - b * b) AS base, (a1 * e - b * d) / (a1 * c1 - b * b) AS slope FROM r)
+    SELECT l_orderkey, l_linenumber, ROUND(COALESCE(qty, (base + slope * x) * sq + mq), 6) AS qty FROM u, w""")
+def impute_mice_one(t):
+    data = t.lineitem.selectExpr("l_orderkey", "l_linenumber", "CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_quantity END AS qty",
+                                 "l_extendedprice AS price")
+    out = clean_rules(data, [{"action_type": "impute", "columns": ["qty", "price"], "impute_method": "mice"}]).df
+    return _rounded(out.select("l_orderkey", "l_linenumber", "qty"), qty=6)

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import fuzzy
+from millrace.operators import chained, fuzzy
 from millrace.operators.chained import impute_mice
 from millrace.operators.curves import interpolate_curve
 from millrace.operators.forest import isolation_scores, treat_isolated
@@ -151,3 +151,30 @@ def test_curve_follows_a_parabola(spark):
     assert np.allclose(got.v, pdf.v)
     parted = interpolate_curve(df, ["v"], ["t"], ["g"], degree=2).toPandas().sort_values("t")
     assert np.allclose(parted.v, pdf.v)
+
+
+def test_chained_regressions_by_patterns_equal_the_rounds(spark):
+    pick = np.random.default_rng(6)
+    base = pick.normal(size=(400, 2)) @ pick.normal(size=(2, 5)) + pick.normal(size=(400, 5)) * 0.3
+    data = base * [1, 10, 0.1, 5, 2] + [0, 100, 3, -7, 1]
+    data[pick.random(data.shape) < [0.3, 0.2, 0.0, 0.1, 0.25]] = np.nan
+    df = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(data)],
+                               "id long, a double, b double, c double, d double, e double")
+    for rounds, tolerance in ((2, 1e-3), (30, 1e-2)):
+        got = impute_mice(df, list("abcde"), rounds, tolerance=tolerance)
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(chained.Chain, "by_patterns", lambda self: None)
+            want = impute_mice(df, list("abcde"), rounds, tolerance=tolerance)
+        assert got.columns == df.columns
+        left, right = (x.toPandas().sort_values("id")[list("abcde")].to_numpy() for x in (got, want))
+        assert np.abs(left - right).max() < 1e-9 and not np.isnan(left).any()
+        assert (left[~np.isnan(data)] == data[~np.isnan(data)]).all()
+
+
+def test_patterns_beyond_the_driver_take_the_rounds(spark, monkeypatch):
+    rows = [(i, None if i % 5 == 0 else float(i), None if i % 3 == 0 else 2.0 * i, float(i % 7)) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double")
+    want = impute_mice(df, list("abc"), 3).toPandas().sort_values("id")
+    monkeypatch.setattr(chained, "CELLS_PER_ROW", 0)
+    got = impute_mice(df, list("abc"), 3).toPandas().sort_values("id")
+    assert np.abs(got[list("abc")].to_numpy() - want[list("abc")].to_numpy()).max() < 1e-9
