@@ -158,6 +158,35 @@ def impute_polynomial(t):
     return out.select("event_id", "v")
 
 
+@query("impute_spline", """
+    WITH RECURSIVE s AS (SELECT o_custkey AS g, o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS v,
+        row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS pos FROM orders),
+    k AS (SELECT g, pos, v, row_number() OVER w AS i, COUNT(*) OVER (PARTITION BY g) AS n, pos - lag(pos) OVER w AS h0,
+        lead(pos) OVER w - pos AS h1, v - lag(v) OVER w AS d0, lead(v) OVER w - v AS d1
+        FROM s WHERE v IS NOT NULL WINDOW w AS (PARTITION BY g ORDER BY pos)),
+    f AS (SELECT g, i, n, 0.0::DOUBLE AS c, 0.0::DOUBLE AS d FROM k WHERE i = 1
+        UNION ALL SELECT k.g, k.i, k.n, CASE WHEN k.i = k.n THEN 0.0 ELSE h1 / (2 * (h0 + h1) - h0 * f.c) END,
+            CASE WHEN k.i = k.n THEN 0.0 ELSE (6 * (d1 / h1 - d0 / h0) - h0 * f.d) / (2 * (h0 + h1) - h0 * f.c) END
+        FROM f JOIN k ON k.g = f.g AND k.i = f.i + 1),
+    b AS (SELECT g, i, 0.0::DOUBLE AS m FROM f WHERE i = n
+        UNION ALL SELECT f.g, f.i, f.d - f.c * b.m FROM b JOIN f ON f.g = b.g AND f.i = b.i - 1),
+    p AS (SELECT s.*, SUM(CASE WHEN v IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY g ORDER BY pos) AS i,
+        COUNT(v) OVER (PARTITION BY g) AS n FROM s),
+    e AS (SELECT p.g, p.o_orderkey, p.v, p.pos, p.i, p.n, x.pos AS x0, x.v AS y0, y.pos AS x1, y.v AS y1, q.m AS m0, r.m AS m1,
+            (y.pos - x.pos)::DOUBLE AS h FROM p
+        LEFT JOIN k x ON x.g = p.g AND x.i = p.i LEFT JOIN k y ON y.g = p.g AND y.i = p.i + 1
+        LEFT JOIN b q ON q.g = p.g AND q.i = p.i LEFT JOIN b r ON r.g = p.g AND r.i = p.i + 1)
+    SELECT o_orderkey, ROUND(CASE WHEN v IS NOT NULL THEN v WHEN i = 0 THEN y1 WHEN i = n THEN y0
+        ELSE (x1 - pos) / h * y0 + (pos - x0) / h * y1 + ((pow((x1 - pos) / h, 3) - (x1 - pos) / h) * m0
+              + (pow((pos - x0) / h, 3) - (pos - x0) / h) * m1) * h * h / 6 END, 2) AS o_totalprice FROM e""")
+def impute_spline(t):
+    data = t.orders.withColumn("o_totalprice", F.expr("CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END"))
+    out = clean_rules(data, [{"action_type": "impute", "column": "o_totalprice", "impute_method": "interpolate",
+                              "interp_method": "spline", "order_by": ["o_orderdate", "o_orderkey"],
+                              "partition_by": ["o_custkey"]}]).df
+    return _rounded(out.select("o_orderkey", "o_totalprice"), o_totalprice=2)
+
+
 @query("win_row_number", """
     SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS row_no FROM orders""")
 def win_row_number(t):

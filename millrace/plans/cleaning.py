@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from millrace.columns import col, cols, is_numeric, is_text, present
 from millrace.functions import text as texts
-from millrace.operators import chained, curves, features, forest, fuzzy, impute, neighbours, ordered, outliers
+from millrace.operators import (
+    chained, curves, features, forest, fuzzy, impute, neighbours, ordered, outliers, splines,
+)
 from millrace.operators.impute import Cleaned
 from millrace.operators.quantiles import exact_quantiles
 from millrace.operators.shape import drop_columns
@@ -70,7 +72,9 @@ def _impute(df: DataFrame, names: list[str], rule: Rule) -> Cleaned:
         names = [n for n in names if n in numbers]
         how = rule.get("interp_method", "linear")
         part = rule.get("partition_by") or ()
-        if how in ("polynomial", "spline"):
+        if how == "spline":
+            out = splines.interpolate_spline(df, names, _order(rule), part)
+        elif how == "polynomial":
             out = curves.interpolate_curve(df, names, _order(rule), part, int(rule.get("interp_order", 2)))
         else:
             out = ordered.interpolate(df, names, _order(rule), part, rule.get("limit_direction", "both"))
