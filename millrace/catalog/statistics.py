@@ -96,17 +96,24 @@ def _chi(a, b, table):
         LEFT JOIN (SELECT {a} AS a, {b} AS b, COUNT(*) n FROM {table} GROUP BY 1, 2) x ON x.a = r.a AND x.b = c.b))"""
 
 
-@query("cat_assoc", " UNION ALL ".join(
-    f"SELECT '{a}' AS column_a, '{b}' AS column_b, CAST(total AS BIGINT) AS sample_size, ROUND(chi, 4) AS statistic, "
-    f"ROUND(sqrt(chi / (total * k)), 6) AS effect_size FROM {_chi(a, b, 'orders_x')}".replace(
-        "orders_x", "(SELECT *, o_orderkey % 3 AS shard FROM orders)")
-    for a, b in (("o_orderstatus", "o_orderpriority"), ("o_orderstatus", "shard"), ("o_orderpriority", "shard"))))
+_CATS = (("o_orderstatus", "o_orderpriority"), ("o_orderstatus", "shard"), ("o_orderpriority", "shard"))
+_CHIS = " UNION ALL ".join(f"SELECT '{a}' AS column_a, '{b}' AS column_b, * FROM {_chi(a, b, 'orders_x')}".replace(
+    "orders_x", "(SELECT *, o_orderkey % 3 AS shard FROM orders)") for a, b in _CATS)
+
+
+@query("cat_assoc", f"""
+    WITH c AS (SELECT *, chi / 2 AS h FROM ({_CHIS})),
+    p AS (SELECT *, exp(-h) * (1 + h + CASE WHEN dof = 8 THEN h * h / 2 + h * h * h / 6 ELSE 0 END) AS p FROM c),
+    k AS (SELECT *, row_number() OVER (ORDER BY p) AS place, COUNT(*) OVER () AS m FROM p),
+    q AS (SELECT *, least(1.0, MIN(p * m / place) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM k)
+    SELECT column_a, column_b, CAST(total AS BIGINT) AS sample_size, ROUND(chi, 4) AS statistic, ROUND(sqrt(chi / (total * k)), 6) AS effect_size,
+           ROUND(p, 6) AS p_value, ROUND(q, 6) AS q_value FROM q""")
 def cat_assoc(t):
     data = t.orders.withColumn("shard", F.expr("o_orderkey % 3"))
     tests = hypothesis.categorical_associations(data, ["o_orderstatus", "o_orderpriority", "shard", "o_orderkey"])
     return hypothesis.pair_table(data, tests).select(
-        "column_a", "column_b", "sample_size", F.round("statistic", 4).alias("statistic"),
-        F.round("effect_size", 6).alias("effect_size"))
+        "column_a", "column_b", "sample_size", F.round("statistic", 4).alias("statistic"), F.round("effect_size", 6).alias("effect_size"),
+        F.round("p_value", 6).alias("p_value"), F.round("q_value", 6).alias("q_value"))
 
 
 @query("chi_square", f"""
@@ -145,6 +152,15 @@ def anova(t):
     return hypothesis.result_table(t.orders, [found]).select("test", "statistic")
 
 
+@query("anova_all_levels", """
+    WITH v AS (SELECT p_brand g, p_retailprice x FROM part), s AS (SELECT g, COUNT(*) n, AVG(x) m, var_samp(x) v FROM v GROUP BY g HAVING COUNT(*) > 1),
+    t AS (SELECT SUM(n * m) / SUM(n) AS gm, SUM(n) AS n FROM s)
+    SELECT COUNT(*)::BIGINT AS groups, ROUND((SUM(s.n * (m - gm) ** 2) / (COUNT(*) - 1)) / (SUM((s.n - 1) * v) / (MAX(t.n) - COUNT(*))), 6) AS statistic FROM s, t""")
+def anova_all_levels(t):
+    found = hypothesis.anova(t.part, "p_retailprice", "p_brand")
+    return t.spark.createDataFrame([(found["groups"], round(found["statistic"], 6))], "groups long, statistic double")
+
+
 @query("hypothesis_p_values", f"""
     WITH c AS (SELECT c_acctbal AS v, c_mktsegment AS g FROM customer WHERE c_mktsegment IN ('BUILDING', 'FURNITURE')),
     m AS (SELECT g, COUNT(*)::DOUBLE AS n, AVG(v) AS m, var_samp(v) AS s FROM c GROUP BY 1),

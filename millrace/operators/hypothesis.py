@@ -6,11 +6,12 @@ Spark reduces the data to sufficient statistics; only those reach the driver.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from millrace.functions.distributions import (
 )
 from millrace.operators.ordered import Ordered
 from millrace.operators.stats import pearson
-from millrace.session import session_of
+from millrace.session import materialize, session_of
 
 METHODS = ("fdr_bh", "fdr_by", "bonferroni")
 
@@ -169,40 +170,78 @@ def independence(df: DataFrame, a: str, b: str) -> tuple[float, int, int, int, i
     return row["seen"] + total - row["covered"], dof, total, rows, columns
 
 
+def _pair_cells(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(pair, a, b, n): how often two levels of the columns i < j meet, for pair = i * columns + j.
+
+    Every task codes the levels it sees and counts each pair of columns in one small matrix, so no row is
+    copied; what travels is one row per cell and task.
+    """
+    width = len(names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels: list[dict[str, int]] = [{} for _ in names]
+        tables: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            codes = []
+            for column, known in zip(batch.columns, levels):
+                coded = column.dictionary_encode()
+                place = np.array([known.setdefault(v, len(known)) for v in coded.dictionary.to_pylist()] + [-1], np.int64)
+                codes.append(place[coded.indices.fill_null(len(place) - 1).to_numpy(zero_copy_only=False)])
+            for i in range(width):
+                for j in range(i + 1, width):
+                    shape = (len(levels[i]), len(levels[j]))
+                    both = (codes[i] >= 0) & (codes[j] >= 0)
+                    met = np.bincount(codes[i][both] * shape[1] + codes[j][both], minlength=shape[0] * shape[1]).reshape(shape)
+                    if (i, j) in tables:
+                        old = tables[i, j]
+                        met[: old.shape[0], : old.shape[1]] += old
+                    tables[i, j] = met
+        for (i, j), table in tables.items():
+            left, right = np.nonzero(table)
+            names_of = [pa.array(list(levels[k]), pa.string()).take(pa.array(at)) for k, at in ((i, left), (j, right))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(left), i * width + j, np.int32)), *names_of, pa.array(table[left, right])],
+                names=["pair", "a", "b", "n"])
+
+    rows = df.select(*[col(n).cast("string").alias(f"c{i}") for i, n in enumerate(names)])
+    cells = rows.mapInArrow(count, "pair int, a string, b string, n long")
+    return cells.groupBy("pair", "a", "b").agg(F.sum("n").alias("n"))
+
+
 def categorical_associations(
     df: DataFrame, names: Sequence[str], min_samples: int = 15, alpha: float = 0.05, method: str = "fdr_bh",
     max_levels: int = 50,
 ) -> list[PairTest]:
-    """Chi-square and Cramér's V of every pair of columns with at most 50 levels, one job for all counts."""
+    """Chi-square and Cramér's V of every pair of columns with at most 50 levels, one job for all counts.
+
+    Cells and margins stay in Spark; the driver gets five numbers for each pair.
+    """
     names = [n for n in names if n in df.columns]
     if len(names) < 2:
         return []
     levels = df.agg(*[F.approx_count_distinct(col(n), 0.02).alias(f"d{i}") for i, n in enumerate(names)]).first()
     # the sketch only rules out columns far above the limit; the exact rule is applied below
     names = [n for i, n in enumerate(names) if levels[i] <= max_levels * 1.5]
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    if not pairs:
+    if len(names) < 2:
         return []
-    cells = F.array(*[
-        F.struct(F.lit(i).alias("pair"), col(a).cast("string").alias("a"), col(b).cast("string").alias("b"))
-        for i, (a, b) in enumerate(pairs)
-    ])
-    rows = df.select(F.inline(cells)).where("a IS NOT NULL AND b IS NOT NULL").groupBy("pair", "a", "b").count().collect()
-    tables: dict[int, dict] = {}
-    for r in rows:
-        tables.setdefault(r["pair"], {})[(r["a"], r["b"])] = r["count"]
+    cells = materialize(_pair_cells(df, names))
+    left = cells.groupBy("pair", "a").agg(F.sum("n").alias("l"))
+    right = cells.groupBy("pair", "b").agg(F.sum("n").alias("r"))
+    totals = left.groupBy("pair").agg(F.sum("l").alias("total"), F.count(F.lit(1)).alias("rows")).join(
+        right.groupBy("pair").agg(F.count(F.lit(1)).alias("columns")), "pair").where(
+        (F.col("total") >= min_samples) & (F.greatest("rows", "columns") <= max_levels) & (F.least("rows", "columns") >= 2))
+    # at most max_levels x max_levels cells a pair, with those that never occur
+    whole = left.join(totals, "pair").join(right, "pair").join(cells, ["pair", "a", "b"], "left")
+    expected = F.col("l") * F.col("r").cast("double") / F.col("total")
+    apart = F.abs(F.coalesce("n", F.lit(0)) - expected)
+    apart = apart - F.when((F.col("rows") == 2) & (F.col("columns") == 2), F.least(F.lit(0.5), apart)).otherwise(0.0)
+    found = whole.groupBy("pair", "total", "rows", "columns").agg(F.sum(apart * apart / expected).alias("statistic")).collect()
     spark, tests = session_of(df), []
-    for i, (a, b) in enumerate(pairs):
-        counts = tables.get(i, {})
-        n = sum(counts.values())
-        if n < min_samples:
-            continue
-        statistic, dof, n, r, c = chi_square_stats(counts)
-        if max(r, c) > max_levels or min(r, c) < 2:
-            continue
-        v = math.sqrt(statistic / (n * min(r - 1, c - 1)))
-        p = chi_square_upper(spark, statistic, dof)
-        tests.append(PairTest("categorical_categorical", a, b, n, statistic, min(v, 1.0), p))
+    for r in sorted(found):
+        v = math.sqrt(r["statistic"] / (r["total"] * min(r["rows"] - 1, r["columns"] - 1)))
+        p = chi_square_upper(spark, r["statistic"], (r["rows"] - 1) * (r["columns"] - 1))
+        a, b = divmod(r["pair"], len(names))
+        tests.append(PairTest("categorical_categorical", names[a], names[b], r["total"], r["statistic"], min(v, 1.0), p))
     return _finish(tests, alpha, method)
 
 
@@ -312,22 +351,27 @@ def _exact_u(n1: int, n2: int, u: float) -> float:
     return min(1.0, 2.0 * float(ways.sum()) / math.comb(n1 + n2, n1))
 
 
-def anova(df: DataFrame, a: str, b: str, alpha: float = 0.05, limit: int = 6) -> dict[str, Any]:
-    """One-way analysis of variance over the first six categories with at least two values."""
-    levels = _first_levels(df, b, limit)
+def anova(df: DataFrame, a: str, b: str, alpha: float = 0.05, groups: Sequence[Any] | None = None) -> dict[str, Any]:
+    """One-way analysis of variance over all categories with at least two values, or over those named.
+
+    Moments per category stay in Spark, so any number of categories can take part.
+    """
     text = col(b).cast("string")
-    long = df.where(text.isin(levels)).select(text.alias("g"), as_double(df, a).alias("v")).where("v IS NOT NULL")
-    moments = {g: m for g, m in _moments(long).items() if m[0] >= 2}
-    if len(moments) < 2:
+    rows = df.where(text.isNotNull()) if groups is None else df.where(text.isin([str(g) for g in groups]))
+    long = rows.select(text.alias("g"), as_double(df, a).alias("v")).where("v IS NOT NULL")
+    moments = long.groupBy("g").agg(F.count("v").alias("n"), F.avg("v").alias("m"), F.var_samp("v").alias("s")).where("n >= 2")
+    total = moments.agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand"))
+    gap = F.col("m") - F.col("grand")
+    row = moments.crossJoin(F.broadcast(total.select("grand"))).agg(
+        F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * gap * gap).alias("between"),
+        F.sum((F.col("n") - 1) * F.col("s")).alias("within")).first()
+    if row["k"] < 2:
         raise ValueError("at least two groups need two values each")
-    total = sum(n for n, _, _ in moments.values())
-    grand = sum(n * m for n, m, _ in moments.values()) / total
-    between = sum(n * (m - grand) ** 2 for n, m, _ in moments.values())
-    within = sum((n - 1) * s for n, _, s in moments.values())
-    d1, d2 = len(moments) - 1, total - len(moments)
+    d1, d2 = row["k"] - 1, row["n"] - row["k"]
+    between, within = row["between"], row["within"]
     statistic = (between / d1) / (within / d2) if within > 0 and d2 > 0 else 0.0
     p = f_upper(session_of(df), statistic, d1, d2) if within > 0 and d2 > 0 else 1.0
-    return {"test": "anova", "statistic": statistic, "p_value": p, "effect_size": statistic, "groups": len(moments),
+    return {"test": "anova", "statistic": statistic, "p_value": p, "effect_size": statistic, "groups": row["k"],
             "significant": p < alpha}
 
 

@@ -1,5 +1,8 @@
 """Tests of hypothesis tests, correlation control, alerts and relationships."""
 
+import math
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -112,3 +115,47 @@ def test_number_texts():
     assert [short_value("n", v) for v in (5, 5.25, -1500.0)] == ["5", "5.25", "-1.5K"]
     assert precise_value("sales", 1234.5) == "$1,234.50" and precise_value("x", 1234.0) == "1,234"
     assert [brief(v) for v in (12.345, 12_345, 1_234_567)] == ["12.35", "12.3K", "1.2M"] or brief(12.345) in ("12.34", "12.35")
+
+
+def test_all_pairs_of_categories_against_plain_counts(spark):
+    pick = np.random.default_rng(12)
+    rows = [(str(pick.integers(0, 2)), None if pick.random() < 0.2 else f"l{pick.integers(0, 60)}", int(pick.integers(0, 4)),
+             None if pick.random() < 0.97 else "rare", "same", "yn"[int(pick.random() < 0.4)]) for _ in range(3_000)]
+    names = ["two", "many", "four", "scarce", "flat", "yn"]
+    df = spark.createDataFrame(rows, "two string, many string, four int, scarce string, flat string, yn string").repartition(5)
+    found = {(x.column_a, x.column_b): x for x in hypothesis.categorical_associations(df, names)}
+    want = {}
+    for i, a in enumerate(names):
+        for j in range(i + 1, len(names)):
+            counts = Counter((str(r[i]), str(r[j])) for r in rows if r[i] is not None and r[j] is not None)
+            if sum(counts.values()) >= 15:
+                stat, dof, n, left, right = hypothesis.chi_square_stats(counts)
+                if min(left, right) >= 2 and max(left, right) <= 50:
+                    want[a, names[j]] = stat, n
+    assert found.keys() == want.keys() == {("two", "four"), ("two", "yn"), ("four", "yn")}
+    for pair, (stat, n) in want.items():
+        assert found[pair].sample_size == n and math.isclose(found[pair].statistic, stat, rel_tol=1e-9)
+    wide = hypothesis.categorical_associations(df, ["many", "four"], max_levels=60)
+    assert len(wide) == 1 and hypothesis.categorical_associations(df.limit(0), names) == []
+
+
+def test_variance_over_every_level_or_those_named(spark):
+    rows = [(f"g{i % 9}", float((i * 7) % 13 + i % 9)) for i in range(120)] + [("lone", 4.0), (None, 2.0), ("g1", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    groups = {}
+    for g, v in rows:
+        if g not in (None, "lone") and v is not None:
+            groups.setdefault(g, []).append(v)
+
+    def plain(chosen):
+        values = [np.array(groups[g]) for g in chosen]
+        every = np.concatenate(values)
+        between = sum(len(v) * (v.mean() - every.mean()) ** 2 for v in values) / (len(values) - 1)
+        return between / (sum(((v - v.mean()) ** 2).sum() for v in values) / (len(every) - len(values)))
+
+    every = hypothesis.anova(df, "v", "g")
+    assert every["groups"] == 9 and math.isclose(every["statistic"], plain(sorted(groups)), rel_tol=1e-9)
+    some = hypothesis.anova(df, "v", "g", groups=["g1", "g8", "g3"])
+    assert some["groups"] == 3 and math.isclose(some["statistic"], plain(["g1", "g8", "g3"]), rel_tol=1e-9)
+    with pytest.raises(ValueError, match="two groups"):
+        hypothesis.anova(df, "v", "g", groups=["g1", "lone"])
