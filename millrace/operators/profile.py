@@ -184,19 +184,15 @@ def dataset_type(names: Sequence[str]) -> str:
 
 
 def id_like(df: DataFrame, name: str, distinct: int | None = None, rows: int | None = None) -> bool:
-    """An identifier by name, a low-cardinality integer, or an integer column of years."""
-    folded = re.sub(r"[_-]", " ", name.lower())
-    words = folded.split()
-    if any(w in words or folded.startswith(w) or folded.endswith(w) for w in ID_TOKENS):
-        return True
-    if not isinstance(type_of(df, name), T.IntegralType):
-        return False
-    if distinct is None or rows is None:
-        rows, distinct = df.count(), distinct_counts(df, [name])[name]
-    if distinct <= max(20, rows * 0.05):
-        return True
-    low, high = df.agg(F.min(col(name)), F.max(col(name))).first()
-    return low is not None and 1900 <= low and high <= 2100
+    """An identifier by name, or a whole number that has few distinct values or holds years only."""
+    tokens = "|".join(map(re.escape, ID_TOKENS))
+    named = re.search(rf"^(?:{tokens})|(?:{tokens})$|\s(?:{tokens})\s", re.sub(r"[\s_-]+", " ", name.lower()).strip())
+
+    def few_or_years() -> bool:
+        n, d = (rows, distinct) if None not in (rows, distinct) else (df.count(), distinct_counts(df, [name])[name])
+        return d <= max(20, n * 0.05) or df.agg(F.bool_and(col(name).between(1900, 2100))).first()[0] is True
+
+    return named is not None or (isinstance(type_of(df, name), T.IntegralType) and few_or_years())
 
 
 # fixed values: shapes of dates written as text

@@ -1,6 +1,7 @@
 """Results cover whole tables at every size: no cap, prefix or switch changes them."""
 
 import math
+import random
 from itertools import combinations
 
 import pytest
@@ -189,3 +190,29 @@ def test_costly_rules_are_cut_off(spark, monkeypatch):
     cleaning.clean_rules(df, [fill, {"action_type": "scale", "column": "b"}])
     cleaning.clean_rules(df, [fill])
     assert cut == [1]
+
+
+def test_class_metrics_against_plain_counts(spark):
+    pick = random.Random(4)
+    pairs = [(pick.choice("abcd"), pick.choice("abcde")) for _ in range(300)] + [(None, "a"), ("a", None), (None, None)]
+    got = learn.classification_metrics(spark.createDataFrame(pairs, "y string, p string"), "y", "p")
+    want = dict.fromkeys(("precision", "recall", "f1"), 0.0) | {"accuracy": sum(y == p for y, p in pairs) / len(pairs)}
+    for value in {y for y, _ in pairs}:
+        hit, actual = sum(y == p == value for y, p in pairs), sum(y == value for y, _ in pairs)
+        guessed = sum(p == value for _, p in pairs)
+        precision, recall = hit / guessed if guessed else 0.0, hit / actual
+        for name, number in (("precision", precision), ("recall", recall),
+                             ("f1", 2 * precision * recall / (precision + recall) if precision + recall else 0.0)):
+            want[name] += number * actual / len(pairs)
+    assert {n: pytest.approx(v) for n, v in want.items()} == got
+    numbers = spark.createDataFrame([(1, 1.0), (0, 1.0), (1, 0.0)], "y int, p double")
+    assert learn.classification_metrics(numbers, "y", "p")["accuracy"] == pytest.approx(1 / 3)
+
+
+@pytest.mark.parametrize("name, values, want", [
+    ("user_id", ["a"], True), ("no of rooms", ["a"], True), ("price", ["a"], False), ("total", [float(i) for i in range(99)], False),
+    ("amount", list(range(99)), False), ("amount", [1, 2, 3] * 40, True), ("made", list(range(1950, 2020)) * 3, True)])
+def test_id_like_names_and_numbers(spark, name, values, want):
+    kind = {str: "string", float: "double", int: "int"}[type(values[0])]
+    df = spark.createDataFrame([(v,) for v in values], f"`{name}` {kind}")
+    assert profile.id_like(df, name) is want
