@@ -9,9 +9,9 @@ from millrace.catalog.registry import query
 from millrace.operators.aggregates import drop_duplicates
 from millrace.operators.filters import sql_predicate
 from millrace.operators.impute import fill_constants, fill_value
-from millrace.plans import quality
+from millrace.plans import quality, trace
 from millrace.plans.procedure import (
-    Procedure, ProcedureError, bind_parameters, build, build_checked, dropped_rows, execution_order, lineage_table, run_golden_tests,
+    Procedure, ProcedureError, bind_parameters, build, build_checked, execution_order, lineage_table, run_golden_tests,
     run_procedure,
 )
 from millrace.plans.sqltext import procedure_sql
@@ -93,10 +93,17 @@ def win_lineage_prev(t):
     return table.where("node_id IN ('once', 'large')").select("node_id", "rows_out", "dropped_count")
 
 
-@query("lineage_flags", "SELECT o_orderkey FROM orders WHERE o_totalprice < 100000 AND o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_totalprice >= 100000)")
+@query("lineage_flags", "SELECT o_orderkey, 'large' AS dropped_by FROM orders WHERE NOT (o_totalprice >= 100000 AND o_orderstatus IN ('O', 'F'))")
 def lineage_flags(t):
-    kept = t.orders.where("o_totalprice >= 100000")
-    return dropped_rows(t.orders, kept, ["o_orderkey"]).select("o_orderkey")
+    traced = trace.trace_drops(reconcile(), _inputs(t), source="orders")
+    return trace.dropped(traced).where("dropped_by = 'large'").select("o_orderkey", "dropped_by")
+
+
+@query("lineage_reasons", f"""
+    SELECT 'once' AS dropped_by, 'repeats a key' AS reason, COUNT(*) AS n_rows FROM orders WHERE o_orderkey % 10 = 0
+    UNION ALL SELECT 'large', 'does not match the filter', (SELECT COUNT(*) FROM orders) - COUNT(*) FROM {_BIG}""")
+def lineage_reasons(t):
+    return trace.drop_counts(trace.trace_drops(reconcile(), _inputs(t), source="orders"))
 
 
 @query("proc_source", "SELECT COUNT(*) AS n FROM region")

@@ -8,6 +8,7 @@ from millrace.plans.procedure import (
     Procedure, ProcedureError, bind_parameters, build, execution_order, run_golden_tests, run_procedure,
 )
 from millrace.plans.quality import run_checks, score_checks
+from millrace.plans import trace
 from millrace.plans.sqltext import procedure_sql
 from millrace.plans.versions import ProcedureStore, StillRunning
 from millrace.sources.snapshots import ConflictError, Snapshots, content_id
@@ -159,6 +160,35 @@ def test_graph_checks():
         build(Procedure("p", [node("a", "teleport")]), {})
 
 
+def test_trace_says_who_drops_what(parcels):
+    p = fee_procedure()
+    rows = [tuple(r) for r in trace.trace_drops(p, {"default": parcels}).select(
+        "parcel_no", "copies", "mask", "dropped_by", "reason").collect()]
+    assert sorted(rows, key=str) == sorted([
+        (1, 1, 1, "heavy", "does not match the filter"), (4, 1, 1, "heavy", "does not match the filter"),
+        (3, 1, 2, "single", "repeats a key"), (6, 1, 2, "single", "repeats a key"), (2, 1, 4, "hub", "does not match the filter"),
+        (6, 1, 4, "hub", "does not match the filter"), (3, 1, 0, None, None), (5, 1, 0, None, None)], key=str)
+    counts = {r.dropped_by: r.n_rows for r in trace.drop_counts(trace.trace_drops(p, {"default": parcels})).collect()}
+    assert counts == {e["node_id"]: e["dropped_count"] for e in run_procedure(p, {"default": parcels}).lineage if e["dropped_count"]}
+
+
+def test_trace_with_gaps_fills_and_keys_of_null(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 1.0), (None, 3.0), (1, None), (1, 50.0), (2, None)], "k long, v double")
+    p = Procedure("p", [
+        node("s", "source"), node("low", "filter", ["s"], rules=[{"col": "v", "op": "!=", "val": 50.0}]),
+        node("fill", "impute", ["low"], columns={"v": {"strategy": "zero"}}), node("one", "dedupe", ["fill"], subset=["k"]),
+        node("j", "join", ["one", "s"], left_on="k", right_on="k")])
+    found = trace.trace_drops(p, {"default": df})
+    assert [n["id"] for n in trace.followed(p)] == ["s", "low", "fill", "one"]
+    alone = Procedure("p", p.nodes[:4])
+    got = sorted(((r.k, r.v, r.copies, r.dropped_by) for r in trace.trace_drops(alone, {"default": df}).collect()), key=str)
+    assert found.count() == 6 and sum(r[2] for r in got) == 6
+    order = build(alone, {"default": df})
+    assert sorted(((r.k, r.v) for r in order.collect()), key=str) == [(k, v) for k, v, _, by in got if by is None]
+    with pytest.raises(ProcedureError, match="source"):
+        trace.trace_drops(alone, {"default": df}, source="zz")
+
+
 def test_parameters():
     specs = [{"name": "f", "type": "float", "default": 100.0, "min_value": 0}, {"name": "b", "type": "bool", "default": True},
              {"name": "e", "type": "enum", "default": "A", "allowed_values": ["A", "B"]}]
