@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millrace.columns import as_double, col, missing, rounded
@@ -72,10 +72,29 @@ _WORDS = {
 def run_checks(
     df: DataFrame, checks: Sequence[Check], parents: dict[str, DataFrame] | None = None
 ) -> list[Verdict]:
-    parents = parents or {}
-    counts: dict[int, int] = {}
+    picks, errors = _row_picks(df, checks)
+    row = df.agg(F.count(F.lit(1)).alias("n"), *picks.values()).first().asDict()
+    return _judged(df, checks, parents or {}, row, picks, errors)
+
+
+def watch_checks(
+    df: DataFrame, checks: Sequence[Check]
+) -> tuple[DataFrame, Callable[[DataFrame], list[Verdict]]]:
+    """The table with its row-level checks as observed metrics, and what judges them once it has been written.
+
+    The write is the only pass over the rows. The judge takes the written table, which checks of keys
+    (unique, referential) read.
+    """
+    picks, errors = _row_picks(df, checks)
+    mark = Observation()
+    watched = df.observe(mark, F.count(F.lit(1)).alias("n"), *picks.values())
+    return watched, lambda written: _judged(written, checks, {}, mark.get, picks, errors)
+
+
+def _row_picks(df: DataFrame, checks: Sequence[Check]) -> tuple[dict[int, Column], dict[int, str]]:
+    """Aggregates of the row-level checks, and what is wrong with checks that cannot run."""
     errors: dict[int, str] = {}
-    picks = {}
+    picks: dict[int, Column] = {}
     for i, check in enumerate(checks):
         name = check.get("column") or check.get("foreign_column")
         if check["type"] != "row_count" and (name is None or name not in df.columns):
@@ -86,8 +105,14 @@ def run_checks(
             picks[i] = test.alias(f"c{i}")
         elif check["type"] not in ("row_count", "unique", "referential"):
             errors[i] = f"Unknown check {check['type']!r}"
-    row = df.agg(F.count(F.lit(1)).alias("n"), *picks.values()).first()
-    counts |= {i: row[f"c{i}"] for i in picks}
+    return picks, errors
+
+
+def _judged(
+    df: DataFrame, checks: Sequence[Check], parents: dict[str, DataFrame], row: dict[str, int], picks: dict[int, Column],
+    errors: dict[int, str],
+) -> list[Verdict]:
+    counts = {i: row[f"c{i}"] for i in picks}
     unique = {i: c["column"] for i, c in enumerate(checks) if c["type"] == "unique" and i not in errors}
     repeated = duplicate_keys(df, sorted(set(unique.values())))
     counts |= {i: repeated[n][0] for i, n in unique.items()}

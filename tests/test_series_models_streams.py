@@ -119,7 +119,7 @@ def test_gate_stops_a_stream(spark, tmp_path):
     with pytest.raises(Exception, match="GateFailed|outside"):
         jobs.quality_stream(stream, checks, *places)
     assert spark.read.parquet(places[1]).first()["failing"] == 4
-    assert not (tmp_path / "out").exists()
+    assert not list((tmp_path / "out").glob("batch=*"))  # the failing batch was written aside only
 
 
 def test_restarted_stream_reads_only_new_files(spark, tmp_path):
@@ -136,3 +136,17 @@ def test_append_trend_waits_for_the_watermark(spark, tmp_path, table):
     closed = jobs.read_batches(spark, sink).count()
     days = table("events").select(F.col("ts").cast("date")).distinct().count()
     assert 0 < closed < days
+
+
+def test_a_failing_batch_stops_the_stream_after_the_good_ones(spark, tmp_path):
+    folder, sink, verdicts, mark = (str(tmp_path / n) for n in ("in", "out", "verdicts", "mark"))
+    checks = [{"type": "not_null", "column": "v"}, {"type": "unique", "column": "id"}, {"type": "row_count", "min_rows": 5}]
+    for i, bad in enumerate((False, False, True, False)):
+        rows = [(10 * i + k, None if bad and k < 3 else 1.0) for k in range(10)]
+        spark.createDataFrame(rows, "id long, v double").coalesce(1).write.mode("append").parquet(folder)
+    stream = jobs.watch_files(spark, folder, "id long, v double", "parquet", per_batch=1)
+    with pytest.raises(Exception, match="batch 2"):
+        jobs.quality_stream(stream, checks, sink, verdicts, mark)
+    assert sorted(r.id for r in jobs.read_batches(spark, sink).collect()) == list(range(20))
+    found = spark.read.parquet(verdicts).where("batch = 2").collect()
+    assert {(r.type, r.passed, r.failing) for r in found} == {("not_null", False, 3), ("unique", True, 0), ("row_count", True, 0)}
