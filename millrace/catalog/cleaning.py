@@ -451,12 +451,21 @@ def rule_diff_query(t):
     return rule_diff(data, rule, ["o_orderkey"])["diff"].select("o_orderkey", "changed")
 
 
-@query("impute_knn")
+@query("impute_knn", """
+    WITH d AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE p_retailprice END AS v FROM part),
+    n AS (SELECT q.p_partkey, q.p_size, x.v, abs(q.p_size - x.p_size) AS far,
+            row_number() OVER (PARTITION BY q.p_partkey ORDER BY abs(q.p_size - x.p_size), x.p_partkey) AS r
+        FROM d q JOIN d x ON q.v IS NULL AND x.v IS NOT NULL),
+    k AS (SELECT *, MIN(far) OVER (PARTITION BY p_partkey) AS nearest FROM n WHERE r <= 5)
+    SELECT p_partkey, p_size, v AS p_retailprice FROM d WHERE v IS NOT NULL
+    UNION ALL SELECT p_partkey, p_size, ROUND(SUM(v * CASE WHEN nearest > 0 THEN 1 / far WHEN far = 0 THEN 1.0 ELSE 0.0 END)
+        / SUM(CASE WHEN nearest > 0 THEN 1 / far WHEN far = 0 THEN 1.0 ELSE 0.0 END), 6) FROM k GROUP BY 1, 2""")
 def impute_knn(t):
     data = t.part.selectExpr("p_partkey", "CAST(p_size AS DOUBLE) AS p_size",
                              "CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE p_retailprice END AS p_retailprice")
     return clean_rules(data, [{"action_type": "impute", "columns": ["p_size", "p_retailprice"], "impute_method": "knn",
-                               "knn_neighbors": 5, "knn_weights": "distance", "key": ["p_partkey"]}]).df
+                               "knn_neighbors": 5, "knn_weights": "distance", "key": ["p_partkey"]}]).df.withColumn(
+        "p_retailprice", F.round("p_retailprice", 6))
 
 
 @query("impute_mice")

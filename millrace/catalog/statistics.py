@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.catalog.registry import query
@@ -466,6 +469,31 @@ for _name in ("holt_winters", "ridge_lag", "arima"):
     query(f"fc_{_name}")(_model(_name))
 
 
+@query("fc_bands", """
+    WITH s AS (SELECT o_orderpriority, date_trunc('month', MAX(o_orderdate)) AS last, date_diff('month', MIN(o_orderdate), MAX(o_orderdate)) + 1 AS n
+        FROM orders GROUP BY 1 UNION ALL SELECT 'first day', date_trunc('month', MIN(o_orderdate)), 1 FROM orders),
+    m AS (SELECT unnest(['holt_winters', 'ridge_lag', 'arima', 'ensemble']) AS model),
+    h AS (SELECT CAST(unnest(range(1, 7)) AS INTEGER) AS step)
+    SELECT model, o_orderpriority, step, CAST(last + to_months(step) AS DATE) AS period, TRUE AS in_order, TRUE AS widening
+    FROM s, m, h WHERE n >= 8
+    UNION ALL SELECT model, o_orderpriority, NULL, NULL, NULL, NULL FROM s, m WHERE n < 8""")
+def fc_bands(t):
+    first = t.orders.agg(F.min("o_orderdate")).first()[0]
+    rows = t.orders.unionByName(t.orders.where(F.col("o_orderdate") == F.lit(first)).withColumn("o_orderpriority", F.lit("first day")))
+    table = series.resample(rows, "o_orderdate", "o_totalprice", "M", ["o_orderpriority"])
+    inside = (F.col("lower_95") <= F.col("lower_80")) & (F.col("lower_80") <= F.col("point")) & (
+        F.col("point") <= F.col("upper_80")) & (F.col("upper_80") <= F.col("upper_95"))
+    by_series = Window.partitionBy("o_orderpriority").orderBy("step")
+    width = F.col("upper_95") - F.col("lower_95")
+    parts = []
+    for name in ("holt_winters", "ridge_lag", "arima", None):
+        ahead = forecast_table(table, "M", series=["o_orderpriority"], model=name)
+        wider = F.when(width.isNotNull(), F.coalesce(width > F.lag(width).over(by_series), F.lit(True)))
+        parts.append(ahead.select(F.lit(name or "ensemble").alias("model"), "o_orderpriority", "step", "period",
+                                  inside.alias("in_order"), wider.alias("widening")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query("fc_ensemble")
 def fc_ensemble(t):
     return run_forecast(t.orders, "o_orderdate", "o_totalprice", frequency="M", series=["o_orderpriority"])

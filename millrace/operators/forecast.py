@@ -190,14 +190,18 @@ def _spread(y: np.ndarray, horizon: int, frequency: str) -> float:
     return float(np.std(y[-cut:] - back))
 
 
+TOO_SHORT = "too_short"
+
+
 def _forecast_frame(frequency: str, horizon: int, series: list[str], only: str | None):
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("period")
         y = part["value"].to_numpy(dtype=float)
         head = {k: part[k].iloc[0] for k in series}
         if len(y) < MIN_POINTS:
-            return pd.DataFrame(columns=[*series, "step", "last_period", "point", "lower_80", "upper_80", "lower_95",
-                                         "upper_95", "best_model", "avg_mape", *[f"mape_{m}" for m in MODELS]])
+            rest = dict.fromkeys(["step", "point", "lower_80", "upper_80", "lower_95", "upper_95", "avg_mape",
+                                  *[f"mape_{m}" for m in MODELS]])
+            return pd.DataFrame([{**head, **rest, "last_period": part["period"].iloc[-1], "best_model": TOO_SHORT}])
         fitted = _fit(y, horizon, frequency, only)
         errors = np.clip([e for _, e in fitted.values()], 1e-3, 1e6)
         weights = (1 / errors) / (1 / errors).sum()
@@ -221,7 +225,11 @@ def _forecast_frame(frequency: str, horizon: int, series: list[str], only: str |
 def forecast_table(
     table: DataFrame, frequency: str, horizon: int | None = None, series: Sequence[str] = (), model: str | None = None
 ) -> DataFrame:
-    """Forecast of every series of a regular (series…, period, value) table, with 80 % and 95 % bands."""
+    """Forecast of every series of a regular (series…, period, value) table, with 80 % and 95 % bands.
+
+    A series of fewer than ``MIN_POINTS`` periods gives one row that says so: ``best_model`` is "too_short",
+    and step, period and numbers are NULL.
+    """
     steps = horizon or HORIZON.get(frequency, 30)
     keys = list(series) or ["_one"]
     data = table if series else table.withColumn("_one", F.lit(0))

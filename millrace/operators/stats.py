@@ -115,13 +115,31 @@ def modes(df: DataFrame, names: Sequence[str]) -> dict[str, tuple[object, int] |
     return {n: found.get(n) for n in names}
 
 
+def _typed_value(df: DataFrame, name: str) -> Column:
+    """A cell as a struct (l, d, s) with one member set: whole numbers and times as longs, other numbers as doubles."""
+    kind, value = type_of(df, name), col(name)
+    whole = real = text = None
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        whole = value.cast("long")
+    elif isinstance(kind, T.DateType):
+        whole = F.unix_date(value).cast("long")
+    elif isinstance(kind, T.TimestampType):
+        whole = F.unix_micros(value)
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        real = value.cast("double")
+    else:
+        text = value.cast("string")
+    members = (whole, "long", "l"), (real, "double", "d"), (text, "string", "s")
+    return F.struct(*[(F.lit(None).cast(t) if v is None else v).alias(n) for v, t, n in members])
+
+
 def distinct_counts(df: DataFrame, names: Sequence[str]) -> dict[str, int]:
-    """Exact distinct counts of all columns in one job over (column, value) pairs."""
+    """Exact distinct counts of all columns in one job over (column, value) pairs; numbers move as numbers."""
     if not names:
         return {}
-    pairs = F.array(*[F.struct(F.lit(n).alias("name"), col(n).cast("string").alias("s")) for n in names])
-    long = df.select(F.inline(pairs)).where("s IS NOT NULL").distinct()
-    found = {r["name"]: r["count"] for r in long.groupBy("name").count().collect()}
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), _typed_value(df, n).alias("v")) for i, n in enumerate(names)])
+    long = df.select(F.inline(cells)).select("c", "v.l", "v.d", "v.s").where("l IS NOT NULL OR d IS NOT NULL OR s IS NOT NULL")
+    found = {names[r["c"]]: r["count"] for r in long.distinct().groupBy("c").count().collect()}
     return {n: found.get(n, 0) for n in names}
 
 
