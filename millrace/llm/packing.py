@@ -6,6 +6,9 @@ pieces come largest first. Bins are kept in the order of their free room and car
 sources and of the duplicate clusters they hold. The search starts at the first bin with enough room and
 goes on to the next one until the tightest bin without a conflict is found; only then a bin is opened.
 
+Duplicate clusters are the SimHash groups of ``with_clusters`` where its columns are given (as ``op10_packing``
+does for raw documents), else texts that are equal up to case.
+
 A text longer than a bin is cut into byte ranges: full bins and a rest, which is packed like a text.
 
 Defined cases: NULL texts have size 0 and still get a bin; a NULL source conflicts with nothing; NULL
@@ -23,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import text_of
+from millrace.llm.simhash import fingerprints, named_marks
+from millrace.session import materialize
 
 CAPACITY = 8_192
 PART_ROWS = 2_048
@@ -60,6 +65,17 @@ def _bits(values: pd.Series) -> list[int]:
     return [0 if pd.isna(v) else place.get(v, 0) for v in values]
 
 
+def with_clusters(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
+    """doc_id, source, size and near_copies (the SimHash group of its text) of every row, without the texts."""
+    found = materialize(fingerprints(docs, words, digest=True).select("digest", "fp").distinct())
+    named = named_marks(found.select("fp", F.lit(None).cast("long").alias("doc_id")), distance)
+    groups = found.join(named, "fp").select("digest", F.col("root").alias("near_copies"))
+    source = F.col("source") if "source" in docs.columns else F.lit(None)
+    rows = docs.select("doc_id", source.cast("string").alias("source"), F.octet_length(text_of()).cast("long").alias("size"),
+                       F.xxhash64(text_of()).alias("digest"))
+    return rows.join(groups, "digest", "left").drop("digest")
+
+
 def pack(docs: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS, size: Column | None = None,
          cluster: Column | None = None, keep_sources_apart: bool = True) -> DataFrame:
     """doc_id, piece, pieces, start, size, bin_id, bin_offset for every piece of every row of ``docs``.

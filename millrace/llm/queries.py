@@ -139,7 +139,8 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(read_table(spark, folder, "documents"))
+    docs = packing.with_clusters(read_table(spark, folder, "documents"))
+    return packing.pack(docs, size=F.col("size"), cluster=F.col("near_copies"))
 
 
 @register

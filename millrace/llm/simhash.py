@@ -121,10 +121,10 @@ def links(marks: DataFrame, distance: int = 2) -> DataFrame:
 def simhash_groups(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
     """doc_id, fp, component_id for every row of ``docs`` (doc_id, text)."""
     found = materialize(fingerprints(docs, words))
-    return found.join(_named(found, distance), "fp", "left").select("doc_id", "fp", "component_id")
+    return found.join(named_marks(found, distance), "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def _named(found: DataFrame, distance: int) -> DataFrame:
+def named_marks(found: DataFrame, distance: int) -> DataFrame:
     """fp, root (one mark for each group) and component_id of every distinct mark."""
     marks = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(marks.select("fp"), distance)).withColumnRenamed("node", "fp")
@@ -141,7 +141,7 @@ def drop_near_copies(docs: DataFrame, words: int = 3, distance: int = 2) -> Data
     least id, whatever groups the other rows of that id are in.
     """
     found = materialize(fingerprints(docs, words, digest=True).where("doc_id IS NOT NULL"))
-    groups = materialize(found.join(_named(found, distance), "fp"))
+    groups = materialize(found.join(named_marks(found, distance), "fp"))
     again = materialize(groups.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     gone = groups.where("component_id < doc_id").select("doc_id")
     once = docs.join(gone.unionByName(again).distinct(), "doc_id", "left_anti").select(docs.columns)

@@ -46,8 +46,8 @@ def integers(vector: Column, factor: int = 1024) -> Column:
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     """Rows of longs, filled up with zeros."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    if not len(column):
-        return np.zeros((0, width), np.int64)
+    if not len(column) or not width:
+        return np.zeros((len(column), width), np.int64)
     sizes = np.diff(np.asarray(column.offsets))
     flat = column.flatten().to_numpy(zero_copy_only=False)
     if (sizes == width).all():

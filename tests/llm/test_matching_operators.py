@@ -379,6 +379,33 @@ def test_best_fit_takes_the_tightest_compatible_bin():
         assert packing.best_fit(sizes, sources, clusters, 50)[0] == slow_best_fit(sizes, sources, clusters, 50)
 
 
+def test_near_copies_never_share_a_bin(spark):
+    rng = random.Random(15)
+    bases = [[f"w{rng.randint(0, 3000)}" for _ in range(120)] for _ in range(6)]
+    rows = []
+    for i in range(90):
+        words = list(bases[i % 6])
+        if i % 2:
+            words[rng.randrange(len(words))] = "changed"
+        rows.append((i, " ".join(words), None))
+    rows += [(200, None, "a"), (201, "", "b"), (202, "  ", "c"), (None, "loose text", "d")]
+    docs = packing.with_clusters(table(spark, rows))
+    assert docs.count() == len(rows)
+    groups = {r.doc_id: r.component_id for r in simhash.simhash_groups(table(spark, rows)).collect()}
+    bins = defaultdict(list)
+    got = packing.pack(docs, capacity=4_000, size=F.col("size"), cluster=F.col("near_copies")).collect()
+    for r in got:
+        bins[r.bin_id].append(groups[r.doc_id])
+    assert len(got) == len(rows) and all(len(g) == len(set(g)) for g in bins.values()) and len(set(groups.values())) < 90
+    assert packing.pack(packing.with_clusters(table(spark, rows).limit(0)), size=F.col("size"), cluster=F.col("near_copies")).count() == 0
+
+
+def test_vectors_without_components(spark):
+    empty = spark.createDataFrame([(i, []) for i in range(5)], "vec_id long, values array<long>")
+    got = sorted(map(tuple, topk.top_k(empty, empty.where("vec_id = 1"), 3).collect()))
+    assert got == [(1, 1, 0, 0), (1, 2, 2, 0), (1, 3, 3, 0)]
+
+
 def test_packing_keeps_its_promises(spark):
     rng = random.Random(7)
     rows = AWKWARD + [(100 + i, "t" * rng.randint(0, 900) + str(i % 40), rng.choice("abcdef")) for i in range(400)]
