@@ -2,6 +2,10 @@
 
 Every stage reads what its predecessor kept, written as Parquet in between, so a lost executor repeats at
 most one stage. All stages but the last return the columns of ``documents``.
+
+Defined cases, stage by stage: a NULL text counts as the empty one everywhere and is kept (the empty texts as one group
+of copies, of which the least id stays); rows with a NULL doc_id are never dropped as copies or for a benchmark
+item; repeated rows are copies; further columns pass through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import decontaminate, packing, pii, simhash, toxicity
-from millrace.llm.common import read_table
+from millrace.llm.common import read_table, remove
 from millrace.session import scratch_path
 
 
@@ -20,7 +24,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least id of every group of near copies."""
+    """The least id of every group of near copies: SimHash over 3-word shingles, linked at 2 or fewer bits."""
     return simhash.drop_near_copies(docs)
 
 
@@ -52,9 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """The last stage's rows; every stage's table is removed once the next one is written."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs

@@ -1,17 +1,21 @@
 """Nearest-neighbour imputation without comparing every pair of rows.
 
 Rows are laid along a few randomly shifted Z-order curves (the zkNN method: Yao, Li and Kumar 2010;
-Zhang, Li and Jestes 2012). On each curve a row with a gap looks only at the k donors before it and
-the k after it, found by an equi-join on the donors' position, so the work is linear in the rows and
-no group grows with the data. With one coordinate the neighbours are exact, with several they are
-close ones; more curves bring them closer.
+Zhang, Li and Jestes 2012). On each curve a row with a gap looks only at the ``REACH`` x k donors before it
+and as many after it, found by an equi-join on the donors' position, so the work is linear in the rows and
+no group grows with the data. Every curve but the first runs through the points in a turned frame, so no
+two of them part the same neighbours. With one coordinate the neighbours are exact. With several the share of
+the true five nearest that is found was measured on clustered points: 0.99 or more for two and three
+coordinates, 0.95 or more for five (a test holds 0.9).
 """
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +25,10 @@ from millrace.operators.quantiles import exact_quantiles
 from millrace.operators.stats import column_stats
 
 
+CURVES = 5
+REACH = 5
+
+
 def _curve(cells: Sequence[Column], bits: int) -> Column:
     """Interleave the bits of non-negative whole numbers."""
     width = len(cells)
@@ -42,11 +50,10 @@ def _gap_distance(coords: Sequence[str]) -> Column:
     return F.when(both > 0, F.sqrt(total * len(coords) / both))
 
 
-def nearest_fill(
-    df: DataFrame, target: str, coords: Sequence[str], key: Sequence[str],
-    k: int = 5, weights: str = "uniform", curves: int = 3, seed: int = 42,
+def nearest_rows(
+    df: DataFrame, target: str, coords: Sequence[str], key: Sequence[str], k: int = 5, curves: int = CURVES, seed: int = 42,
 ) -> DataFrame:
-    """(key…, fill) for the rows whose target is missing."""
+    """(key…, near) for the rows whose target is missing: the k nearest donors as (dist, dk, dv), nearest first."""
     stats = column_stats(df, coords)
     usable = [c for c in coords if stats[c].known]
     middles = exact_quantiles(df, {c: [0.5] for c in usable})
@@ -54,19 +61,27 @@ def nearest_fill(
     bits = min(20, 60 // max(1, len(usable)))
     top = float(2**bits - 1)
     draw = random.Random(seed)
-    shifts = [[0.0] * len(usable)] + [[draw.random() for _ in usable] for _ in range(curves - 1)]
+    reach = REACH * k if len(usable) > 1 else k
+    width = len(usable)
+    frames = [([0.0] * width, np.eye(width))]
+    for _ in range(curves - 1 if width > 1 else 0):
+        turn = np.linalg.qr(np.array([[draw.gauss(0, 1) for _ in usable] for _ in usable]))[0]
+        frames.append(([draw.random() for _ in usable], turn))
 
     base = df.select(*cols(key), as_double(df, target).alias("_t"),
                      *[as_double(df, c).alias(f"_c{i}") for i, c in enumerate(usable)])
 
-    def along(shift: Sequence[float]) -> Column:
+    def along(shift: Sequence[float], turn: np.ndarray) -> Column:
+        unit = [(F.coalesce(F.col(f"_c{i}"), F.lit(middles[c][0])) - stats[c].low) / spread for i, c in enumerate(usable)]
         cells = []
-        for i, c in enumerate(usable):
-            unit = (F.coalesce(F.col(f"_c{i}"), F.lit(middles[c][0])) - stats[c].low) / spread
-            cells.append(F.floor((unit + shift[i]) / 2.0 * top).cast("long"))
+        for i in range(width):
+            # a unit cube turned in any way stays within sqrt(width) of its corner at 0
+            at = sum((u * float(t) for u, t in zip(unit, turn[i])), F.lit(0.0))
+            room = math.sqrt(width) if width > 1 else 0.0
+            cells.append(F.floor((at + room + shift[i]) / (2 * room + 1.0 if room else 2.0) * top).cast("long"))
         return _curve(cells, bits)
 
-    zs = F.array(*[F.struct(F.lit(i).alias("_curve"), along(s).alias("_z")) for i, s in enumerate(shifts)])
+    zs = F.array(*[F.struct(F.lit(i).alias("_curve"), along(*f).alias("_z")) for i, f in enumerate(frames)])
     spread_out = base.select("*", F.inline(zs)).withColumn("_donor", F.col("_t").isNotNull().cast("long"))
     run = Ordered(spread_out, ["_z", "_donor", *key], ["_curve"])
     run.running_sum("_donor", "_rank")
@@ -75,12 +90,20 @@ def nearest_fill(
         F.struct(*cols(key)).alias("dk"), *[F.col(f"_c{i}").alias(f"dc{i}") for i in range(len(usable))])
     asking = run.df.where("_donor = 0").select(
         *cols(key), F.col("_curve"),
-        F.explode(F.sequence(F.col("_rank") - (k - 1), F.col("_rank") + k)).alias("_rank"),
+        F.explode(F.sequence(F.col("_rank") - (reach - 1), F.col("_rank") + reach)).alias("_rank"),
         *[F.col(f"_c{i}").alias(f"qc{i}") for i in range(len(usable))])
     pairs = asking.join(donors, ["_curve", "_rank"]).withColumn("dist", _gap_distance(usable))
-    # at most 2·k·curves candidates per row
-    ranked = pairs.where("dist IS NOT NULL").groupBy(*cols(key)).agg(
+    # at most 2·reach·curves candidates per row
+    return pairs.where("dist IS NOT NULL").groupBy(*cols(key)).agg(
         F.slice(F.sort_array(F.collect_set(F.struct("dist", "dk", "dv"))), 1, k).alias("near"))
+
+
+def nearest_fill(
+    df: DataFrame, target: str, coords: Sequence[str], key: Sequence[str],
+    k: int = 5, weights: str = "uniform", curves: int = CURVES, seed: int = 42,
+) -> DataFrame:
+    """(key…, fill) for the rows whose target is missing."""
+    ranked = nearest_rows(df, target, coords, key, k, curves, seed)
     if weights == "distance":
         zero = F.exists("near", lambda p: p["dist"] == 0)
         weight = F.transform("near", lambda p: F.when(zero, (p["dist"] == 0).cast("double")).otherwise(1 / p["dist"]))
@@ -94,7 +117,7 @@ def nearest_fill(
 
 def impute_knn(
     df: DataFrame, names: Sequence[str], key: Sequence[str],
-    k: int = 5, weights: str = "uniform", curves: int = 3, seed: int = 42,
+    k: int = 5, weights: str = "uniform", curves: int = CURVES, seed: int = 42,
 ) -> DataFrame:
     """Fill each numeric column from its nearest rows; a row with no usable coordinate takes the mean."""
     if not key:

@@ -12,7 +12,7 @@ from millrace.operators import chained, fuzzy
 from millrace.operators.chained import impute_mice
 from millrace.operators.curves import interpolate_curve
 from millrace.operators.forest import isolation_scores, treat_isolated
-from millrace.operators.neighbours import impute_knn
+from millrace.operators.neighbours import impute_knn, nearest_rows
 from millrace.session import TASK_ROWS_KEY
 
 
@@ -178,3 +178,16 @@ def test_patterns_beyond_the_driver_take_the_rounds(spark, monkeypatch):
     monkeypatch.setattr(chained, "CELLS_PER_ROW", 0)
     got = impute_mice(df, list("abc"), 3).toPandas().sort_values("id")
     assert np.abs(got[list("abc")].to_numpy() - want[list("abc")].to_numpy()).max() < 1e-9
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_most_of_the_nearest_rows_are_found(spark, width):
+    pick, n = np.random.default_rng(width), 1_500
+    points = np.concatenate([pick.normal(size=(n // 3, width)) * 0.3 + pick.normal(size=width) * 3 for _ in range(3)])
+    gap = pick.random(n) < 0.1
+    rows = [(i, *map(float, points[i]), None if gap[i] else 1.0) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"x{j} double" for j in range(width)) + ", y double")
+    apart, donors = ((points[gap][:, None] - points[~gap][None]) ** 2).sum(axis=2), np.flatnonzero(~gap)
+    want = dict(zip(np.flatnonzero(gap).tolist(), (set(donors[o].tolist()) for o in np.argsort(apart, axis=1)[:, :5])))
+    got = {r.id: {p.dk.id for p in r.near} for r in nearest_rows(df, "y", [f"x{j}" for j in range(width)], ["id"]).collect()}
+    assert np.mean([len(got[q] & near) / 5 for q, near in want.items()]) >= 0.9
