@@ -312,6 +312,15 @@ def ins_categorical(t):
     return out.select("column", F.round("entropy", 6).alias("entropy"), "levels")
 
 
+@query("ins_category_shares", """
+    SELECT o_orderstatus AS label, COUNT(*)::DOUBLE AS n, (SELECT ROUND(MAX(n) * 100.0 / SUM(n), 1) FROM (SELECT COUNT(*) n FROM orders GROUP BY o_orderstatus)) AS dominant_pct
+    FROM orders GROUP BY 1""")
+def ins_category_shares(t):
+    found = findings.categorical(Facts(t.orders, _ROLES))
+    rows = [(label, n, float(found.meta["dominant_pct"])) for label, n in zip(found.labels, found.values)]
+    return t.spark.createDataFrame(rows, "label string, n double, dominant_pct double")
+
+
 @query("fx_entropy", """
     WITH c AS (SELECT p_brand v, COUNT(*) n FROM part GROUP BY 1), s AS (SELECT n * 1.0::DOUBLE / SUM(n) OVER () AS p FROM c)
     SELECT ROUND(SUM(-p * ln(p + 1e-10)), 6) AS entropy FROM s""")

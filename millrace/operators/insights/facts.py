@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from millrace.columns import as_double, col, is_numeric
 from millrace.operators.quantiles import exact_quantiles
 from millrace.operators.stats import ColumnStats, column_stats, null_counts
+from millrace.session import materialize
 
 PROBS = (0.10, 0.25, 0.50, 0.75, 0.90)
 
@@ -49,6 +50,8 @@ class Facts:
         self.nulls
         if self.metrics:
             self.stats, self.quantiles
+        if self.dimensions:
+            self.levels, self.level_counts
 
     @cached_property
     def nulls(self) -> tuple[int, dict[str, int]]:
@@ -88,10 +91,26 @@ class Facts:
         row = self.df.agg(F.count_if(any_), *[F.count_if(t) for t in tests.values()]).first()
         return {"": row[0]} | {m: row[i + 1] for i, m in enumerate(tests)}
 
+    @cached_property
+    def levels(self) -> DataFrame:
+        """(dimension, label, n, total, mean) of the first metric for every value of every dimension: one pass,
+        kept as a table of one row per value."""
+        v = as_double(self.df, self.metrics[0]) if self.metrics else F.lit(None).cast("double")
+        cells = F.array(*[F.struct(F.lit(d).alias("dimension"), col(d).cast("string").alias("label")) for d in self.dimensions])
+        long = self.df.select(v.alias("v"), F.inline(cells)).where("label IS NOT NULL")
+        return materialize(long.groupBy("dimension", "label").agg(
+            F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("v"), F.lit(0.0)).alias("total"), F.avg("v").alias("mean")))
+
+    @cached_property
+    def level_counts(self) -> dict[str, int]:
+        """Number of values of each dimension."""
+        return {r["dimension"]: r["count"] for r in self.levels.groupBy("dimension").count().collect()}
+
     def group(self, dimension: str, metric: str) -> DataFrame:
         """(label, total, mean) of one metric per value of a dimension."""
+        if dimension in self.dimensions and metric == self.metrics[0]:
+            return self.levels.where(F.col("dimension") == dimension).select("label", "total", "mean")
         v = as_double(self.df, metric)
         kept = self.df.where(col(dimension).isNotNull())
         return kept.groupBy(col(dimension).cast("string").alias("label")).agg(
             F.coalesce(F.sum(v), F.lit(0.0)).alias("total"), F.avg(v).alias("mean"))
-

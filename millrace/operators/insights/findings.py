@@ -13,7 +13,8 @@ from millrace.operators.forecast import forecast_table
 from millrace.operators.hypothesis import numeric_correlations
 from millrace.operators.insights.facts import Facts, Insight, clamp
 from millrace.operators.quantiles import exact_quantiles
-from millrace.operators.stats import distinct_near, pearson
+from millrace.operators.stats import pearson
+from millrace.session import materialize
 
 # fixed values: limits below which a finding is not shown
 TREND_MIN, CHANGE_MIN, CORRELATION_MIN, Z_LIMIT = 0.005, 5.0, 0.55, 2.8
@@ -24,7 +25,7 @@ def trend(f: Facts) -> Insight | None:
     if not f.date or not f.metrics or f.rows < 4:
         return None
     metric = f.metrics[0]
-    days = series.daily_sums(f.df, f.date, metric)
+    days = materialize(series.daily_sums(f.df, f.date, metric))  # a row per day
     moved = series.pct_change(days)
     mean = moved.agg(F.avg("pct_change")).first()[0]
     if mean is None or abs(mean) < TREND_MIN:
@@ -125,7 +126,7 @@ def segment(f: Facts) -> Insight | None:
     if not f.dimensions or not f.metrics:
         return None
     dimension, metric = f.dimensions[0], f.metrics[0]
-    if not 2 <= distinct_near(f.df, [dimension], f.rows, [20])[dimension] <= 20:
+    if not 2 <= f.level_counts.get(dimension, 0) <= 20:
         return None
     means = f.group(dimension, metric).where("mean IS NOT NULL").orderBy(F.desc("mean"), "label").collect()
     if len(means) < 2 or means[-1]["mean"] == 0:
@@ -267,7 +268,11 @@ def distribution(f: Facts) -> Insight | None:
 def entropy_table(df, names):
     """(column, entropy, levels, top value, top count) of several columns in one job."""
     pairs = F.array(*[F.struct(F.lit(n).alias("column"), col(n).cast("string").alias("v")) for n in names])
-    counts = df.select(F.inline(pairs)).where("v IS NOT NULL").groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
+    return entropies(df.select(F.inline(pairs)).where("v IS NOT NULL").groupBy("column", "v").agg(F.count(F.lit(1)).alias("n")))
+
+
+def entropies(counts):
+    """The same from a table of counts (column, v, n)."""
     totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
     share = F.col("n") / F.col("total")
     return counts.join(F.broadcast(totals), "column").groupBy("column").agg(
@@ -276,15 +281,19 @@ def entropy_table(df, names):
     ).select("column", "entropy", "levels", F.col("top.v").alias("top_value"), (-F.col("top.k")).alias("top_count"))
 
 
+def _entropies_of(f: Facts, names):
+    counts = f.levels.where(F.col("dimension").isin(names)).select(F.col("dimension").alias("column"), F.col("label").alias("v"), "n")
+    return {r["column"]: r for r in entropies(counts).collect()}
+
+
 def categorical(f: Facts) -> Insight | None:
     """Most and least concentrated dimension by entropy."""
     names = [d for d in f.dimensions if not is_numeric(f.df, d)]
     if not names and f.dimensions:
-        levels = distinct_near(f.df, f.dimensions, f.rows, [30])
-        names = [d for d in f.dimensions if levels[d] <= 30]
+        names = [d for d in f.dimensions if f.level_counts.get(d, 0) <= 30]
     if not names:
         return None
-    rows = {r["column"]: r for r in entropy_table(f.df, names).collect()}
+    rows = _entropies_of(f, names)
     if not rows:
         return None
     ordered = [n for n in names if n in rows]
@@ -292,14 +301,13 @@ def categorical(f: Facts) -> Insight | None:
     spread = max(ordered, key=lambda n: rows[n]["entropy"])
     top = rows[focus]
     pct = round(top["top_count"] / f.rows * 100, 1)
-    text = col(focus).cast("string").alias("label")
-    best = f.df.where(col(focus).isNotNull()).groupBy(text).count().orderBy(F.desc("count"), "label").limit(10).collect()
+    best = f.levels.where(F.col("dimension") == focus).orderBy(F.desc("n"), "label").limit(10).collect()
     return Insight(
         "categorical", f"Category Distribution: {focus}",
         f"'{focus}' is the most concentrated dimension: '{top['top_value']}' holds {pct}% of the rows "
         f"({top['levels']} values). '{spread}' is the most varied ({rows[spread]['levels']} values).",
         round(min(pct / 100 + 0.2, 0.85), 3), focus, "bar_chart", [r["label"] for r in best],
-        [float(r["count"]) for r in best],
+        [float(r["n"]) for r in best],
         {"dominant_pct": pct, "n_unique": top["levels"], "fragmented_unique": rows[spread]["levels"]},
         {"most_concentrated": focus, "dominant_value": top["top_value"], "most_fragmented": spread})
 
@@ -386,7 +394,7 @@ def profile_cards(f: Facts, have: set[str], room: int) -> list[Insight]:
                 f"'{metric}': mean {s.mean:,.2f}, median {f.quantiles[metric][0.5]:,.2f}, deviation {s.std:,.2f}, "
                 f"range {s.low:,.2f} to {s.high:,.2f}, {s.null_share * 100:.1f}% missing.", 0.18, metric))
     if len(cards) < room and f.dimensions:
-        table = {r["column"]: r for r in entropy_table(f.df, f.dimensions[:2]).collect()}
+        table = _entropies_of(f, f.dimensions[:2])
         for dimension, r in table.items():
             cards.append(Insight(
                 "profile", f"Category Breakdown: {dimension}",
