@@ -150,12 +150,24 @@ def win_interp(t):
     return _rounded(out.select("event_id", "v"), v=6)
 
 
-@query("impute_polynomial")
+@query("impute_polynomial", f"""
+    WITH n AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS pos FROM {_EVENT_GAPS}),
+    k AS (SELECT pos, v, row_number() OVER (ORDER BY pos) AS nth FROM n WHERE v IS NOT NULL),
+    g AS (SELECT * FROM (SELECT event_id, v, pos AS here, COUNT(v) OVER (ORDER BY pos) AS b, COUNT(v) OVER () AS known FROM n) WHERE v IS NULL),
+    c AS (SELECT g.event_id, here, k.pos, k.v, row_number() OVER (PARTITION BY g.event_id ORDER BY abs(k.pos - here), k.pos) AS r
+        FROM g JOIN k ON nth BETWEEN b - 1 AND b + 2 WHERE b > 0 AND b < known),
+    p AS (SELECT event_id, MAX(here)::DOUBLE AS x, MAX(pos) FILTER (r = 1)::DOUBLE AS x1, MAX(v) FILTER (r = 1) AS v1, MAX(pos) FILTER (r = 2)::DOUBLE AS x2,
+            MAX(v) FILTER (r = 2) AS v2, MAX(pos) FILTER (r = 3)::DOUBLE AS x3, MAX(v) FILTER (r = 3) AS v3 FROM c GROUP BY 1),
+    e AS (SELECT g.event_id, k.v FROM g JOIN k ON k.nth = CASE WHEN b = 0 THEN 1 ELSE known END WHERE b = 0 OR b = known)
+    SELECT event_id, ROUND(v, 5) AS v FROM (
+        SELECT event_id, v FROM n WHERE v IS NOT NULL UNION ALL SELECT event_id, v FROM e UNION ALL
+        SELECT event_id, v1 * (x - x2) * (x - x3) / ((x1 - x2) * (x1 - x3)) + v2 * (x - x1) * (x - x3) / ((x2 - x1) * (x2 - x3))
+            + v3 * (x - x1) * (x - x2) / ((x3 - x1) * (x3 - x2)) FROM p)""")
 def impute_polynomial(t):
     out = clean_rules(event_gaps(t), [{"action_type": "impute", "column": "v", "impute_method": "interpolate",
                                        "interp_method": "polynomial", "interp_order": 2,
                                        "order_by": ["ts", "event_id"]}]).df
-    return out.select("event_id", "v")
+    return _rounded(out.select("event_id", "v"), v=5)
 
 
 @query("impute_spline", """
