@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from millrace.catalog.cleaning import _GAPPY, gappy
@@ -450,14 +452,22 @@ def resolve_column_query(t):
     return _kinds(t.customer.groupBy(group).agg(F.avg(measure).alias(measure)), c_acctbal=4)
 
 
-@query("dataset_type", "SELECT 'customer' AS table_name, COUNT(*) AS n_rows FROM customer UNION ALL SELECT 'product', COUNT(*) FROM events")
+_TYPED = ("customer", "events", "lineitem", "orders", "part")
+_WORDS = ", ".join(f"({i}, '{d}', '{w}')" for i, (d, words) in enumerate(profile.DOMAIN_WORDS.items()) for w in words)
+
+
+@query("dataset_type", f"""
+    WITH w AS (SELECT * FROM (VALUES {_WORDS}) x(i, domain, word)),
+    c AS ({" UNION ALL ".join(f"SELECT '{t}' AS table_name, unnest(json_keys(to_json(r))) AS name FROM (SELECT r FROM {t} r LIMIT 1)" for t in _TYPED)}),
+    v AS (SELECT table_name, i, domain, COUNT(*) AS votes FROM c JOIN w ON contains(lower(name), word) GROUP BY 1, 2, 3),
+    b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY votes DESC, i) AS r FROM v) WHERE r = 1),
+    n AS ({" UNION ALL ".join(f"SELECT '{t}' AS table_name, COUNT(*) AS n_rows FROM {t}" for t in _TYPED)})
+    SELECT n.table_name, COALESCE(domain, 'general') AS domain, n_rows FROM n LEFT JOIN b ON b.table_name = n.table_name""")
 def dataset_type(t):
-    parts = [(t.customer, ["customer_id", "account_balance", "signup_day"]), (t.events, ["event_id", "session", "page_view"])]
-    out = None
-    for df, names in parts:
-        part = df.agg(F.lit(profile.dataset_type(names)).alias("table_name"), F.count(F.lit(1)).alias("n_rows"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    parts = [(name, getattr(t, name)) for name in _TYPED]
+    counted = [df.agg(F.lit(name).alias("table_name"), F.lit(profile.dataset_type(df.columns)).alias("domain"),
+                      F.count(F.lit(1)).alias("n_rows")) for name, df in parts]
+    return reduce(lambda a, b: a.unionByName(b), counted)
 
 
 @query("nl_insight", """

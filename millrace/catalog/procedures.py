@@ -112,22 +112,30 @@ def proc_source(t):
     return build(one, {"default": t.region, "other": t.nation}).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("proc_validate", "SELECT 'cycle' AS kind, TRUE AS refused FROM region WHERE r_regionkey = 0 UNION ALL SELECT 'unknown', TRUE FROM region WHERE r_regionkey = 0 UNION ALL SELECT 'repeated', TRUE FROM region WHERE r_regionkey = 0")
+_GRAPH = """(SELECT 'r' || r_regionkey AS node, 0 AS depth, r_regionkey AS k FROM region
+    UNION ALL SELECT 'n' || n_nationkey, 1, n_nationkey FROM nation)"""
+
+
+@query("proc_validate", f"""
+    SELECT 'order' AS kind, node, CAST(row_number() OVER (ORDER BY depth, k) AS INTEGER) AS place FROM {_GRAPH}
+    UNION ALL SELECT kind, 'n' || n_nationkey, NULL FROM nation, (SELECT unnest(['cycle', 'unknown', 'repeated']) AS kind)""")
 def proc_validate(t):
-    bad = {
-        "cycle": [_node("a", "output", ["b"]), _node("b", "output", ["a"])],
-        "unknown": [_node("a", "output", ["zz"])],
-        "repeated": [_node("a", "source"), _node("a", "source")],
-    }
-    found = []
-    for kind, nodes in bad.items():
-        try:
-            execution_order(nodes)
-            found.append((kind, False))
-        except ValueError:
-            found.append((kind, True))
-    marks = F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).alias("refused")) for k, v in found]))
-    return t.region.where("r_regionkey = 0").select(marks)
+    """A graph of regions and their nations in order; the same graph broken at each nation in three ways is refused."""
+    regions = [f"r{r.r_regionkey}" for r in t.region.orderBy("r_regionkey").collect()]
+    nations = {f"n{r.n_nationkey}": f"r{r.n_regionkey}" for r in t.nation.orderBy("n_nationkey").collect()}
+    graph = [_node(n, "output", [r]) for n, r in nations.items()] + [_node(r, "source") for r in regions]
+    ordered = [n["id"] for n in execution_order(graph)]
+    rows = [("order", node, place) for place, node in enumerate(ordered, 1)]
+    for nation, region in nations.items():
+        broken = {"cycle": [_node(n["id"], n["type"], [nation]) if n["id"] == region else n for n in graph],
+                  "unknown": [_node(n["id"], n["type"], ["zz"]) if n["id"] == nation else n for n in graph],
+                  "repeated": [*graph, _node(nation, "source")]}
+        for kind, nodes in broken.items():
+            try:
+                execution_order(nodes)
+            except ValueError:
+                rows.append((kind, nation, None))
+    return t.spark.createDataFrame(rows, "kind string, node string, place int")
 
 
 @query("proc_filter", f"""
