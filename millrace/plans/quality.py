@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.columns import as_double, col, missing, rounded
 from millrace.operators.filters import coerced
+from millrace.session import settle
 
 Check = dict[str, Any]
 
@@ -77,18 +78,16 @@ def run_checks(
     return _judged(df, checks, parents or {}, row, picks, errors)
 
 
-def watch_checks(
-    df: DataFrame, checks: Sequence[Check]
-) -> tuple[DataFrame, Callable[[DataFrame], list[Verdict]]]:
-    """The table with its row-level checks as observed metrics, and what judges them once it has been written.
+def settle_checked(df: DataFrame, checks: Sequence[Check]) -> tuple[DataFrame, list[Verdict]]:
+    """The table as a checkpoint, with verdicts from metrics observed while it was written.
 
-    The write is the only pass over the rows. The judge takes the written table, which checks of keys
-    (unique, referential) read.
+    Row-level checks take no pass of their own; checks of keys (unique, referential) read the checkpoint.
     """
     picks, errors = _row_picks(df, checks)
-    mark = Observation()
-    watched = df.observe(mark, F.count(F.lit(1)).alias("n"), *picks.values())
-    return watched, lambda written: _judged(written, checks, {}, mark.get, picks, errors)
+    watched = df.observe("checks", F.count(F.lit(1)).alias("n"), *picks.values())
+    held, seen = settle(watched)
+    row = dict(zip(["n", *[f"c{i}" for i in picks]], seen["checks"]))
+    return held, _judged(held, checks, {}, row, picks, errors)
 
 
 def _row_picks(df: DataFrame, checks: Sequence[Check]) -> tuple[dict[int, Column], dict[int, str]]:

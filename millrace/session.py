@@ -103,3 +103,18 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint (survives executor loss)."""
     shared_root(session_of(df))
     return df.checkpoint(eager=True)
+
+
+def settle(df: DataFrame) -> tuple[DataFrame, dict[str, list]]:
+    """Compute a frame once into a reliable checkpoint; also the values of each metric it observes by name.
+
+    The metrics are read from the execution itself. An ``Observation`` object would do the same, but it leaves a
+    part in the session that cannot be serialised, which MLlib's evaluators then fail on.
+    """
+    held = materialize(df)
+    found, metrics = {}, df._jdf.queryExecution().observedMetrics().iterator()
+    while metrics.hasNext():
+        pair = metrics.next()
+        row = pair._2()
+        found[pair._1()] = [row.get(i) for i in range(row.size())]
+    return held, found

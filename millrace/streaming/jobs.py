@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from millrace.columns import col, micros
 from millrace.operators.alerts import BASELINE_SCHEMA, DEFAULT_RULES, baseline, evaluate
 from millrace.plans.cleaning import Rule, clean_rules
-from millrace.plans.quality import Check, gate_fails, verdict_table, watch_checks
+from millrace.plans.quality import Check, gate_fails, settle_checked, verdict_table
 
 
 def watch_files(
@@ -113,35 +113,20 @@ def quality_stream(
 ) -> StreamingQuery:
     """Check every batch, store the verdicts, pass the rows on, and stop on an error when asked to.
 
-    A batch is read once: its row-level checks are metrics observed while it is written aside. It moves to
-    the sink once it has passed, so rows of a batch that stops the stream never show there.
+    A batch is computed once, into a checkpoint: its row-level checks are metrics observed meanwhile. Rows of a
+    batch that stops the stream never reach the sink.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        aside = f"{sink}/_waiting-{number}"
-        watched, judge = watch_checks(batch, checks)
-        watched.write.mode("overwrite").parquet(aside)
-        written = spark.read.schema(batch.schema).parquet(aside)
-        found = judge(written)
-        verdict_table(written, found).coalesce(1).write.mode("overwrite").parquet(f"{verdicts}/batch={number}")
+        held, found = settle_checked(batch, checks)
+        verdict_table(held, found).coalesce(1).write.mode("overwrite").parquet(f"{verdicts}/batch={number}")
         if gate_fails(found) and stop:
             raise GateFailed(f"batch {number}: {[v.detail for v in found if not v.passed]}")
-        _publish(spark, aside, f"{sink}/batch={number}")
+        held.write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return _start(stream, handle, checkpoint, once)
 
 
-def _publish(spark: SparkSession, aside: str, target: str) -> None:
-    """Move a written folder to its place; a repeated batch replaces itself."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    old, new = path(aside), path(target)
-    files = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.delete(new, True)
-    if not files.rename(old, new):
-        raise OSError(f"{aside} could not be moved to {target}")
-
-
 def daily_trend(
     stream: DataFrame, time: str, metric: str, sink: str, checkpoint: str, lateness: str = "1 day",
     mode: str = "append", once: bool = True,

@@ -107,6 +107,14 @@ def test_job_number_does_not_grow_with_the_nodes(spark, tmp_path):
     assert jobs(6, dry_run=False, snapshots=store) <= 12 and store.read().count() == 494
 
 
+def test_the_session_stays_serialisable(spark, parcels):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    run_procedure(fee_procedure(), {"default": parcels})
+    scored = spark.createDataFrame([(0.0, 0.2), (1.0, 0.9)], "y double, p double")
+    assert BinaryClassificationEvaluator(labelCol="y", rawPredictionCol="p").evaluate(scored) == 1.0
+
+
 def test_a_branch_that_leads_nowhere_is_counted(parcels):
     p = Procedure("p", [node("s", "source"), node("side", "filter", ["s"], rules=[{"col": "Hub", "val": "north"}]),
                         node("main", "filter", ["s"], rules=[{"col": "Hub", "val": "south"}]), node("o", "output", ["main"])])
