@@ -20,18 +20,18 @@ from millrace.session import materialize
 TREND_MIN, CHANGE_MIN, CORRELATION_MIN, Z_LIMIT = 0.005, 5.0, 0.55, 2.8
 
 
-def trend(f: Facts) -> Insight | None:
-    """Mean day-over-day change of the first metric."""
-    if not f.date or not f.metrics or f.rows < 4:
+def trend(f: Facts, always: bool = False) -> Insight | None:
+    """Mean day-over-day change of the first metric; ``always`` reports it however small it is or few the rows."""
+    if not f.date or not f.metrics or (not always and f.rows < 4):
         return None
     metric = f.metrics[0]
     days = materialize(series.daily_sums(f.df, f.date, metric))  # a row per day
     moved = series.pct_change(days)
     mean = moved.agg(F.avg("pct_change")).first()[0]
-    if mean is None or abs(mean) < TREND_MIN:
+    if mean is None or (not always and abs(mean) < TREND_MIN):
         return None
     last = days.orderBy(F.desc("period")).limit(30).collect()[::-1]
-    word, verb = ("upward", "increasing") if mean > 0 else ("downward", "decreasing")
+    word, verb = ("upward", "increasing") if mean > 0 else ("downward", "decreasing") if mean < 0 else ("even", "changing")
     return Insight(
         "trend", f"{metric} Trend",
         f"'{metric}' shows an {word} trend, {verb} by {round(abs(mean) * 100, 1)}% per day on average.",
