@@ -68,13 +68,11 @@ def st_quality(t):
     return jobs.read_batches(t.spark, verdicts).select("type", "passed", "failing")
 
 
-@query("st_daily_trend", """
-    SELECT CAST(ts AS DATE) AS day, ROUND(SUM(value), 2) AS value, COUNT(*) AS n FROM events
-    WHERE CAST(ts AS DATE) + INTERVAL 2 DAY <= (SELECT MAX(ts) FROM events) GROUP BY 1""")
+@query("st_daily_trend", "SELECT CAST(ts AS DATE) AS day, ROUND(SUM(value), 2) AS value, COUNT(*) AS n FROM events GROUP BY 1")
 def st_daily_trend(t):
     sink, mark = _places(t, "daily", "mark")
-    jobs.daily_trend(jobs.parquet_stream(t.spark, t.path("events")), "ts", "value", sink, mark)
-    return jobs.read_batches(t.spark, sink).withColumn("value", F.round("value", 2))
+    jobs.daily_trend(jobs.parquet_stream(t.spark, t.path("events")), "ts", "value", sink, mark, mode="update")
+    return jobs.latest_days(t.spark, sink).withColumn("value", F.round("value", 2))
 
 
 @query("st_daily_trend_complete", "SELECT CAST(ts AS DATE) AS day, ROUND(SUM(value), 2) AS value, COUNT(*) AS n FROM events GROUP BY 1")

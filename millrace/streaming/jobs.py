@@ -132,7 +132,8 @@ def daily_trend(
     mode: str = "append", once: bool = True,
 ) -> StreamingQuery:
     """Daily sums of a metric. A day is stored, once, when the watermark has passed it, and its state goes;
-    with ``complete`` all days are stored anew with every batch."""
+    with ``update`` the days that a batch changes are stored with it (see ``latest_days``), so that open ones
+    count too; with ``complete`` all days are stored anew with every batch."""
     timed = event_time(stream, time).withWatermark(time, lateness)
     daily = timed.groupBy(F.window(col(time), "1 day")).agg(F.sum(col(metric)).alias("value"), F.count(F.lit(1)).alias("n"))
     shown = daily.select(utc_day(F.col("window.start")).alias("day"), "value", "n")
@@ -158,6 +159,12 @@ def dedupe_stream(
     return _start(unique, handle, checkpoint, once)
 
 
+def latest_days(spark: SparkSession, sink: str) -> DataFrame:
+    """Every day of a daily trend in ``update`` mode as the last batch that changed it has stored it."""
+    newest = F.max_by(F.struct("value", "n"), "batch")
+    return spark.read.parquet(sink).groupBy("day").agg(newest.alias("row")).select("day", "row.value", "row.n")
+
+
 def read_batches(spark: SparkSession, sink: str) -> DataFrame:
     """All batches a stream has stored."""
     return spark.read.parquet(sink).drop("batch")
