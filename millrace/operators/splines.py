@@ -6,6 +6,9 @@ right side and for unit values of the unknowns just before and after it, which l
 That small system, one row per block, gives the unknowns between the blocks, and each block then fills its
 gaps. So the series is read twice and nothing but one row per block is ever gathered.
 
+Series that a task can hold are taken many at a time: their systems, side by side, are one tridiagonal system
+without couplings between them, so the work a series costs is that of its rows.
+
 Within a block the system is solved by cyclic reduction on arrays; it is diagonally dominant, so this is stable.
 Gaps before the first and after the last known point take the nearest known value; a series of one known
 point takes it throughout, one of two is a line, one without any keeps its gaps.
@@ -13,7 +16,7 @@ point takes it throughout, one of two is a line, one without any keeps its gaps.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +24,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.columns import as_double, col, cols, is_numeric, require
-from millrace.operators.ordered import BLOCK, Ordered, interpolate
+from millrace.operators.ordered import BLOCK, Ordered
 from millrace.session import materialize
 
 
-def solve_tridiagonal(below: np.ndarray, main: np.ndarray, above: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Solution for every column of ``right``; each step halves the couplings that are left."""
+def solve_tridiagonal(
+    below: np.ndarray, main: np.ndarray, above: np.ndarray, right: np.ndarray, longest: int | None = None
+) -> np.ndarray:
+    """Solution for every column of ``right``; each step halves the couplings that are left.
+
+    ``longest`` is the size of the largest of several uncoupled systems, where it is known.
+    """
     a, b, c, d = below.copy(), main.copy(), above.copy(), right.copy()
     a[:1], c[-1:] = 0.0, 0.0
     step, n = 1, len(b)
-    while step < n:
+    while step < min(n, longest or n):
         low = np.zeros(n)
         high = np.zeros(n)
         low[step:] = -a[step:] / b[:-step]
@@ -81,7 +89,7 @@ def evaluate(x: np.ndarray, y: np.ndarray, m: np.ndarray, at: np.ndarray) -> np.
 
 
 def _filled(at: np.ndarray, value: np.ndarray, before: tuple | None = None, after: tuple | None = None) -> np.ndarray:
-    """Values with the gaps between known points filled; sides are (position, value, second derivative)."""
+    """Values with their gaps filled, outer ones by the nearest known point; sides are (position, value, second derivative)."""
     known = ~np.isnan(value)
     x, y = at[known], value[known]
     if len(x):
@@ -95,9 +103,69 @@ def _filled(at: np.ndarray, value: np.ndarray, before: tuple | None = None, afte
     if len(x) > 1:
         inside = ~known & (at > x[0]) & (at < x[-1])
         out[inside] = evaluate(x, y, m, at[inside])
+    if len(x):
+        out[~known & (at <= x[0])], out[~known & (at >= x[-1])] = y[0], y[-1]
+    return out
+
+
+def fill_many(series: np.ndarray, at: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The same for whole series one after the other, each with ascending positions; ``series`` numbers them from 0."""
+    known = ~np.isnan(value)
+    out = value.copy()
+    s, x, y = series[known], at[known], value[known]
+    if not len(x):
+        return out
+    n = len(x)
+    joined = s[1:] == s[:-1]  # the next known point belongs to the same series
+    gap = np.where(joined, np.diff(x), 1.0)
+    slope = np.diff(y) / gap
+    inner = np.zeros(n, bool)
+    inner[1:-1] = joined[1:] & joined[:-1]
+    i = np.flatnonzero(inner)
+    below, main, above, right = np.zeros(n), np.ones(n), np.zeros(n), np.zeros(n)
+    below[i], above[i], main[i] = gap[i - 1], gap[i], 2 * (gap[i - 1] + gap[i])
+    right[i] = 6 * (slope[i] - slope[i - 1])
+    ends = np.flatnonzero(np.append(~joined, True))
+    longest = int(np.diff(ends, prepend=-1).max())
+    m = solve_tridiagonal(below, main, above, right[:, None], longest)[:, 0]
+    empty = np.flatnonzero(~known)
+    after = np.cumsum(known)[empty]  # the next known point; the one before it is the last known one
+    has_left = (after > 0) & (s[np.maximum(after, 1) - 1] == series[empty])
+    has_right = (after < n) & (s[np.minimum(after, n - 1)] == series[empty])
+    both, k = empty[has_left & has_right], after[has_left & has_right]
+    h = x[k] - x[k - 1]
+    l, r = (x[k] - at[both]) / h, (at[both] - x[k - 1]) / h
+    out[both] = l * y[k - 1] + r * y[k] + ((l ** 3 - l) * m[k - 1] + (r ** 3 - r) * m[k]) * h * h / 6
+    out[empty[has_left & ~has_right]] = y[after[has_left & ~has_right] - 1]
+    out[empty[has_right & ~has_left]] = y[after[has_right & ~has_left]]
     return out
 
 
+def _fill_series(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by series and position; ``_pos`` is 1 at the start of a series. The last series of a batch may go on
+    in the next, so it waits."""
+    waiting: list[pa.RecordBatch] = []
+
+    def solved(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts)
+        at = _numbers(table.column("_pos"))
+        fresh = fill_many(np.cumsum(at == 1), at, _numbers(table.column("_v")))
+        place = table.column_names.index("_v")
+        yield from table.set_column(place, "_v", pa.array(fresh, pa.float64(), from_pandas=True)).to_batches()
+
+    for batch in batches:
+        starts = np.flatnonzero(_numbers(batch.column("_pos")) == 1)
+        if len(starts):
+            whole = [*waiting, batch.slice(0, int(starts[-1]))]
+            if sum(p.num_rows for p in whole):
+                yield from solved(whole)
+            waiting = [batch.slice(int(starts[-1]))]
+        else:
+            waiting.append(batch)
+    if waiting:
+        yield from solved(waiting)
+
+
 def _numbers(column: pa.ChunkedArray) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(float)
 
@@ -130,14 +198,17 @@ def interpolate_spline(
         run = Ordered(out, order, partition)
         run.number("_pos")
         rows = run.df.withColumn("_v", as_double(out, name))
-        keys = [*partition, BLOCK] if run.blocked else list(partition)
         if run.blocked:
             rows = _with_sides(rows, list(partition))
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema
                            if f.name not in ("_before", "_after"))
-        filled = rows.groupBy(*cols(keys)).applyInArrow(_fill_group, schema)
+        if run.blocked:
+            filled = rows.groupBy(*cols([*partition, BLOCK])).applyInArrow(_fill_group, schema)
+        else:
+            # numbering has brought the rows of a series together; sorted by the same columns, they stay in order
+            filled = rows.sortWithinPartitions(*cols([*partition, *order]), "_pos").mapInArrow(_fill_series, schema)
         out = filled.withColumn(name, F.col("_v")).select(*cols(df.columns))
-    return interpolate(out, names, order, partition)
+    return out
 
 
 def _between(head: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
