@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.columns import col, nan_to_null
+from millrace.session import materialize
 from millrace.sources.nested import flatten
 
 ENCODINGS = ("UTF-8", "ISO-8859-1", "windows-1252")
@@ -79,9 +80,9 @@ def read_latest(spark: SparkSession, folder: str, schema: T.StructType | str | N
 def concat_pages(pages: DataFrame, page: str, size: int) -> DataFrame:
     """Rows of consecutive pages up to and including the first page shorter than ``size``.
 
-    A page that is absent ends the run like an empty one. Only three numbers reach the driver.
+    A page that is absent ends the run like an empty one. Only two numbers reach the driver.
     """
-    sizes = pages.groupBy(col(page)).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = materialize(pages.groupBy(col(page)).agg(F.count(F.lit(1)).alias("_n")))  # a row per page, counted once
     short = sizes.agg(F.min(F.when(F.col("_n") < size, col(page)))).first()[0]
     nexts = sizes.select((col(page) + 1).alias("_next"))
     last = nexts.join(sizes, F.col("_next") == col(page), "left_anti").agg(F.min("_next")).first()[0]
@@ -90,7 +91,10 @@ def concat_pages(pages: DataFrame, page: str, size: int) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, folder: str, size: int, schema: T.StructType | str | None = None) -> DataFrame:
-    """Landed page files ``…page=N/…`` of JSON records as one table."""
+    """Landed pages of JSON records as one table.
+
+    The number of a page stands in its path (``…page=N/…``) or, where a file holds many pages, as ``page`` in each record.
+    """
     reader = spark.read.schema(schema) if schema is not None else spark.read
     return concat_pages(reader.json(folder), "page", size)
 
